@@ -17,7 +17,7 @@ PROSE_WORDS = 8
 #: Separators between the entries of a menu or breadcrumb line.
 NAVIGATION = r"(\||\x{BB}|\x{203A}|\x{2022}|\x{B7}).*(\||\x{BB}|\x{203A}|\x{2022}|\x{B7})"
 BOILERPLATE = (
-    r"(?i)(all rights reserved|licensed under|javascript (is|must be)|cookie(s)? (policy|settings|notice)|privacy policy"
+    r"(?i)(all rights reserved|javascript (is|must be)|cookie(s)? (policy|settings|notice)|privacy policy"
     r"|terms of (use|service)|lorem ipsum|sign (in|up) (to|for)|subscribe to our|click here to|share (this|on) |powered by )"
 )
 #: Symbol characters per word, and runs of exclamation marks per word, from which a line is noise.
@@ -137,7 +137,7 @@ WITH d AS (
     length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) + len(regexp_extract_all(x, '!!+')) > 0.3 * n
     OR (n >= 3 AND length(regexp_replace(x, '[^\p{Lu}]', '', 'g')) > 0.7 * length(regexp_replace(x, '[^\p{L}]', '', 'g')))
     OR regexp_matches(x, '(\||\x{BB}|\x{203A}|\x{2022}|\x{B7}).*(\||\x{BB}|\x{203A}|\x{2022}|\x{B7})')
-    OR regexp_matches(x, '(?i)(all rights reserved|licensed under|javascript (is|must be)|cookie(s)? (policy|settings|notice)|privacy policy|terms of (use|service)|lorem ipsum|sign (in|up) (to|for)|subscribe to our|click here to|share (this|on) |powered by )')
+    OR regexp_matches(x, '(?i)(all rights reserved|javascript (is|must be)|cookie(s)? (policy|settings|notice)|privacy policy|terms of (use|service)|lorem ipsum|sign (in|up) (to|for)|subscribe to our|click here to|share (this|on) |powered by )')
     OR (n >= 8 AND NOT regexp_matches(rtrim(x, ' '), '[.!?:;\x{2026}][\x22''\x{201D}\x{2019}\x{BB})\]]*$'))
   ) GROUP BY rid
 )
