@@ -5,18 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import mixing, quality, sharding
+from lectern.llm import audio, html_text, langid, mixing, packing, quality, sharding, simhash, token_files
+from lectern.session import ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"))
+
+
+def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.expanded(audio.stored_audio(_table(spark, sf_dir, "documents")), with_pcm=False)
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    found = langid.identified(docs, model)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), 16)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.counted(_table(spark, sf_dir, "documents"))
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.clean_lines(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -26,5 +55,15 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_shards": op6_shards, "op9_quality": op9_quality, "op10_mix": op10_mix}
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_pack": op2_pack,
+    "op4_audio": op4_audio,
+    "op5_langid": op5_langid,
+    "op6_shards": op6_shards,
+    "op7_token_counts": op7_token_counts,
+    "op8_main_text": op8_main_text,
+    "op9_quality": op9_quality,
+    "op10_mix": op10_mix,
+}
 ORACLE_SQL = {"op9_quality": quality.ORACLE_SQL}

@@ -77,8 +77,8 @@ def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.conv(F.substring(F.md5(F.encode(text, "UTF-8")), 1, 4), 16, 10).cast("int").alias("__range"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.conv(F.substring(F.md5(text.cast("binary")), 1, 4), 16, 10).cast("int").alias("__range"),
     )
     found = sorted(rows.groupBy("__range").agg(F.sum("size"), F.count(F.lit(1))).collect())
     first = [r[0] for r in found] + [RANGES]
