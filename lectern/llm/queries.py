@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import audio, html_text, langid, mixing, packing, quality, sharding, simhash, token_files
+from lectern.llm import audio, html_text, langid, line_dedup, mixing, packing, quality, sharding, simhash, token_files
 from lectern.session import ship
 
 
@@ -22,6 +22,11 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.expanded(audio.stored_audio(_table(spark, sf_dir, "documents")), with_pcm=False)
 
@@ -58,6 +63,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_pack": op2_pack,
+    "op3_lines": op3_lines,
     "op4_audio": op4_audio,
     "op5_langid": op5_langid,
     "op6_shards": op6_shards,
