@@ -8,11 +8,10 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
+import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Rows sampled per language to fill its dictionary, bytes taken of each, and languages at most.
 SAMPLE_ROWS, SAMPLE_BYTES, MOST_LANGUAGES = 512, 1_024, 256
@@ -89,31 +88,34 @@ def sizes(text: str, compressors: list) -> list[int]:
     return [sum(len(c.compress(p)) for p in pieces) for _, c in compressors]
 
 
+def language_of(text: Column, model: LanguageModel) -> Column:
+    """lang_pred, score and rejected of a whole text, as a struct; see identified()."""
+
+    @F.pandas_udf("lang_pred string, score double, rejected boolean")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        compressors = model.compressors()
+        for batch in batches:
+            found = []
+            for data in batch:
+                words = (data or b"").decode("utf-8", "replace")
+                if not compressors or not LETTER.search(words):
+                    found.append((UNKNOWN, 0.0, True))
+                    continue
+                ranked = sorted(zip(sizes(plain(words), compressors), range(len(compressors)), strict=True))
+                gap = ranked[1][0] - ranked[0][0] if len(ranked) > 1 else MARGIN
+                found.append((compressors[ranked[0][1]][0], 1 - math.exp(-gap / 8), gap < MARGIN))
+            yield pd.DataFrame(found, columns=["lang_pred", "score", "rejected"])
+
+    return predict(text.cast("binary"))
+
+
 def identified(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, rejected for each row's whole text.
 
-    lang_pred is the language of the smallest size, of equals the one with most rows; und (score 0, rejected) if the
-    text is null or has no letter, or nothing was learned. score, 0 to 1: 1 - exp(-d / 8), d the bytes to the
+    lang_pred is the language of the smallest size, of equals the one with most rows; und (score 0, rejected) if
+    the text is null or has no letter, or nothing was learned. score, 0 to 1: 1 - exp(-d / 8), d the bytes to the
     second language. rejected: d is less than MARGIN. Only the text matters: repeated rows get equal values.
+    Extra columns are left out; an empty table gives an empty one.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressors = model.compressors()
-        for batch in batches:
-            langs, scores, rejected = [], [], []
-            for data in (x.as_py() for x in batch.column(1)):
-                text = (data or b"").decode("utf-8", "replace")
-                if not compressors or not text or not LETTER.search(text):
-                    found, score, no = UNKNOWN, 0.0, True
-                else:
-                    ranked = sorted(zip(sizes(plain(text), compressors), range(len(compressors)), strict=True))
-                    gap = ranked[1][0] - ranked[0][0] if len(ranked) > 1 else MARGIN
-                    found, score, no = compressors[ranked[0][1]][0], 1 - math.exp(-gap / 8), gap < MARGIN
-                langs.append(found)
-                scores.append(score)
-                rejected.append(no)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
-
-    schema = T.StructType([T.StructField("doc_id", rows.schema[0].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return rows.mapInArrow(predict, schema)
+    found = docs.select(F.col(id_col).alias("doc_id"), language_of(F.col(text_col), model).alias("__found"))
+    return found.select("doc_id", "__found.*")

@@ -99,7 +99,7 @@ def mixed(
     source_col: str = "source",
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, source, block, phase, release, deadline, slot, block_row and the columns named in keep.
+    """doc_id, source, block, phase, release, deadline, slot, block_row and, as keep_*, the columns named in keep.
 
     A source's rows are put in an order of a hash, and each block has block_bytes of their text (UTF-8 bytes
     plus 1 each; a row belongs to the block in which it starts, a longer one spans the next). Blocks run in
@@ -153,5 +153,5 @@ def mixed(
         "doc_id", "source", "block", "phase",
         (turn + F.expr(f"(__within * {period}) div __span.share")).alias("release"),
         (turn + F.expr(f"((__within + 1) * {period} + __span.share - 1) div __span.share")).alias("deadline"),
-        (turn + F.col("__at")).alias("slot"), F.col("position").alias("block_row"), *[F.col(f"__keep_{c}").alias(c) for c in keep],
+        (turn + F.col("__at")).alias("slot"), F.col("position").alias("block_row"), *[F.col(f"__keep_{c}").alias(f"keep_{c}") for c in keep],
     )
