@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import normal_key
@@ -32,11 +32,15 @@ def with_text(rows: DataFrame, text: str, least: int = 1) -> DataFrame:
     return rows.where(F.length(F.trim(F.col(text))) >= least)
 
 
-def merged(old: DataFrame, new: DataFrame, key: str, order: list[Column | str] | None = None) -> DataFrame:
+def last_rows(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The last row of each key by the order columns."""
+    last = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
+    return rows.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
+
+
+def merged(old: DataFrame, new: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
     """old with new's rows put in by key; of several new rows of a key the last in `order` stays."""
-    if order:
-        last = Window.partitionBy(key).orderBy(*[F.desc(c) if isinstance(c, str) else c for c in order])
-        new = new.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
+    new = last_rows(new, key, order) if order else new
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 

@@ -11,7 +11,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    """Cosine of two vectors; 0 if one is all zeros."""
+    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))
 
 
 def clamped(similarity: Column) -> Column:

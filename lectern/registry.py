@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import items as entries
+from lectern.functions import models
 from lectern.functions import text as t
 from lectern.functions import understanding as ask
 from lectern.operators import fusion, graph, hits, indexing, lexical, library, vector
 from lectern.plans.search import Search
+from lectern.session import ship
+from lectern.sources import export
 from lectern.sources.catalog import Catalog
+from lectern.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -20,6 +24,8 @@ ORACLE_SQL: dict[str, str] = {}
 #: Parameters of the queries.
 TOP, LIST = 10, 20
 PAPER, PERSON, CONCEPT, YEARS = 1, 1, 1, (1995, 2001)
+#: Namespace of domain names (RFC 4122).
+DNS = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
 STOP = ",".join(f"'{w}'" for w in t.STOP_WORDS)
 
 
@@ -551,3 +557,40 @@ def summarize_aspects(c: Catalog) -> DataFrame:
 @query("smart_search")
 def smart_search(c: Catalog) -> DataFrame:
     return Search(c).smart(_asked(c).first()[0], seed=0, limit=TOP)
+
+
+@query("stream_upsert", "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def stream_upsert(c: Catalog) -> DataFrame:
+    return ingest.upserted_events(c.spark, c.path)
+
+
+@query("graphml_lines", "WITH n AS (SELECT s_suppkey AS node, s_name AS name FROM supplier), e AS (SELECT DISTINCT l_orderkey AS src, l_suppkey AS dst FROM lineitem) SELECT '<node id=\"' || node || '\"><data key=\"label\">Person</data><data key=\"name\">' || name || '</data></node>' AS value, 1 AS part FROM n")
+def graphml_lines(c: Catalog) -> DataFrame:
+    nodes = c.table("supplier").select(F.col("s_suppkey").alias("node"), F.lit("Person").alias("label"), F.col("s_name").alias("name"))
+    edges = c.edges("AUTHORED_BY").select("src", "dst", F.lit("AUTHORED_BY").alias("rel"))
+    return export.graphml(nodes, edges).where("part = 1")
+
+
+@query("section_chunks", r"SELECT doc_id AS item_key, i::INT AS chunk_id, array_to_string(list_slice(w, i * 200 + 1, i * 200 + 200), ' ') AS chunk FROM (SELECT doc_id, w, unnest(range(0, ((len(w) + 199) // 200)::BIGINT)) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r\x0B\f]+'), lambda x: x <> '') AS w FROM documents))")
+def section_chunks(c: Catalog) -> DataFrame:
+    return c.table("documents").select(F.col("doc_id").alias("item_key"), F.posexplode(t.token_windows(F.col("text"), 200)).alias("chunk_id", "chunk"))
+
+
+@query("point_ids")
+def point_ids(c: Catalog) -> DataFrame:
+    """A name-based UUID per chunk, by which an index is overwritten."""
+    name = F.concat(F.lit("lectern."), "item_key", F.lit("_chunk_"), "chunk_id")
+    return c.chunks().select("item_key", "chunk_id", t.uuid5(F.lit(DNS), name).alias("point_id"))
+
+
+@query("semantic_chunks")
+def semantic_chunks(c: Catalog) -> DataFrame:
+    """Chunks nearest to a request by the stand-in embedder, reranked by the stand-in reranker."""
+    ship(c.spark)
+    asked = _asked(c).first()[0]
+    chunks = c.chunks().select(F.concat_ws("_chunk_", "item_key", "chunk_id").alias("id"), F.col("chunk").alias("text"))
+    vectors = chunks.withColumn("vector", models.embedded(F.col("text")))
+    query_row = c.spark.createDataFrame([("request", asked)], "id string, text string").withColumn("vector", models.embedded(F.col("text")))
+    found = vector.nearest(vectors, query_row, TOP).select("id", "similarity", "rank")
+    ranked = models.reranked(found.join(chunks, "id"), asked)
+    return ranked.select(t.parent_key(F.col("id"), F.lit(None).cast("string")).alias("item_key"), "id", "similarity", "rank")
