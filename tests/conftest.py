@@ -2,9 +2,13 @@ import os
 import sys
 
 import pytest
+from hypothesis import settings
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+settings.register_profile("lectern", deadline=None)
+settings.load_profile("lectern")
+
 DATA = "/root/testdata/sf0.001"
 
 
