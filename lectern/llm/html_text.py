@@ -55,6 +55,8 @@ LABELLED = (
     (0, 80, 0.0, 60, 0.0, 70, 0.0, 1), (0, 35, 0.05, 50, 0.0, 6, 0.0, 1), (0, 22, 0.0, 4, 0.0, 40, 0.1, 1), (0, 150, 0.2, 2, 1.0, 3, 1.0, 1),
     (0, 17, 0.1, 45, 0.0, 20, 0.0, 1), (0, 28, 0.0, 1, 1.0, 33, 0.0, 1), (0, 12, 0.0, 40, 0.0, 55, 0.0, 1), (0, 6, 0.0, 30, 0.0, 65, 0.0, 1),
     (0, 3, 1.0, 2, 1.0, 4, 1.0, 0), (0, 5, 0.9, 40, 0.0, 3, 1.0, 0), (0, 2, 0.0, 3, 1.0, 2, 1.0, 0), (0, 8, 0.0, 2, 1.0, 0, 0.0, 0),
+    (0, 2, 1.0, 0, 0.0, 60, 0.0, 0), (0, 7, 1.0, 0, 0.0, 25, 0.0, 0), (0, 1, 1.0, 35, 0.0, 0, 0.0, 0), (0, 4, 0.8, 90, 0.0, 0, 0.0, 0),
+    (0, 35, 0.0, 2, 1.0, 1, 1.0, 1), (0, 15, 0.0, 0, 0.0, 0, 0.0, 1), (0, 1, 0.0, 45, 0.0, 50, 0.0, 1), (0, 4, 0.0, 0, 0.0, 80, 0.0, 1),
     (0, 20, 0.8, 6, 1.0, 30, 0.7, 0), (0, 40, 0.7, 10, 0.5, 12, 0.9, 0), (0, 4, 0.0, 6, 0.0, 3, 0.0, 0), (0, 10, 0.5, 3, 1.0, 4, 1.0, 0),
 )
 DEPTH = 6
@@ -164,6 +166,7 @@ def blocks(page: str) -> list[Block]:
             link = link and tag != "li" and not (closing and tag in ("ul", "nav", "p"))
         if tag == "a":
             link = not closing
+            linked.append(" ")
         elif tag == "br":
             text.append(" ")
         if tag in RAW and not closing and not attributes.endswith("/"):

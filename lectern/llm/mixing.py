@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lectern.llm.positions import numbered
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 65_536
+BLOCK_BYTES = 8_192
 #: Slots after which the schedule of a phase repeats; weights are multiples of 1 / PERIOD.
 PERIOD = 2_048
 #: Sources at most: the schedule has up to sources x PERIOD rows and is broadcast.
