@@ -1,41 +1,13 @@
-"""Tables that cut lineage: written once to the folder all executors share, then read back."""
+"""Tables in shared storage, and which of them are small enough to broadcast."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import cache
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.storage import discard, folder, stored
 
-@cache
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="lectern-")
-
-
-def folder(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir; where that is unset (local tests), under a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    return f"{root.rstrip('/')}/lectern-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df, written to shared storage and read back: a lost executor costs no recomputation of what led here."""
-    spark = df.sparkSession
-    path = folder(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a stored() table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["discard", "folder", "small", "stored"]
 
 
 def small(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
