@@ -12,9 +12,8 @@ from lectern.llm.scratch import small, stored
 SHINGLE, SIMILARITY = 7, 0.8
 #: A line has BANDS bands of WIDTH minima: lines of similarity s share one with 1 - (1 - s^5)^12, 0.99 at 0.8.
 BANDS, WIDTH = 12, 5
-#: Lines of a band up to which all pairs are listed; more are compared tile by tile.
-LISTED = 16
-TILE = 24
+#: Lines of a band that are compared in one row; larger bands are compared tile by tile.
+TILE = 256
 
 
 def _let(value: Column, use) -> Column:
@@ -23,37 +22,43 @@ def _let(value: Column, use) -> Column:
 
 
 def comparable(line: Column) -> Column:
-    """What of a line counts: lower case, without blanks at its ends."""
-    return F.lower(F.trim(F.regexp_replace(line, "[\t\x0b\x0c\r]", " ")))
+    """What of a line counts: lower case, without blanks and tabs at its ends."""
+    return F.lower(F.btrim(line, F.lit(" \t\x0b\x0c\r")))
 
 
-def shingles(line: Column) -> Column:
-    """Distinct hashes of the line's runs of SHINGLE characters; of the line itself if it is shorter."""
-    runs = F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
-    return F.array_distinct(F.transform(runs, lambda x: F.xxhash64(x)))
+def hashes(line: Column) -> Column:
+    """Hashes of the line's runs of SHINGLE characters, in order; of the line itself if it is shorter.
 
+    The line in UTF-32 has four bytes a character, so that a run is a slice of bytes at a known place.
+    """
+    coded = F.encode(line, "UTF-32")
+    starts = lambda b: F.sequence(F.lit(1), F.octet_length(b) - (4 * SHINGLE - 1), F.lit(4))
+    runs = _let(coded, lambda b: F.transform(starts(b), lambda i: F.xxhash64(F.substring(b, i, 4 * SHINGLE))))
+    return F.when(F.length(line) < SHINGLE, F.array(F.xxhash64(coded))).otherwise(runs)
 
-def band_keys(line: Column) -> Column:
-    """BANDS longs: for each of as many evenly spaced anchors the hash of the WIDTH shingle hashes that follow it.
 
-    The shingle that follows an anchor in the circle of hash values is a set's minimum under one permutation, and
-    the next ones its next minima. So two sets share a band with about the WIDTH-th power of their similarity,
-    and one sorted array gives all bands. Anchors stand in the sorted array themselves, even where other values
-    are odd.
-    """
-    anchors = [(-(1 << 63) + i * ((1 << 64) // BANDS)) & ~1 for i in range(BANDS)]
-    marked = F.transform(shingles(line), lambda h: h.bitwiseOR(F.lit(1).cast("long")))
-    circle = F.sort_array(F.concat(marked, F.array(*[F.lit(a).cast("long") for a in anchors])))
-    longer = _let(circle, lambda c: F.concat(c, F.slice(c, 1, BANDS + WIDTH)))
+def shingles(line: Column) -> Column:
+    """The set that stands for a line."""
+    return F.array_distinct(hashes(line))
 
-    def keys(c: Column) -> Column:
-        def key(anchor: Column, i: Column) -> Column:
-            near = F.slice(c, (F.array_position(c, anchor) + 1).cast("int"), BANDS + WIDTH)
-            return F.xxhash64(F.slice(F.filter(near, lambda x: x.bitwiseAND(F.lit(1).cast("long")) == 1), 1, WIDTH), i)
 
-        return F.transform(F.array(*[F.lit(a).cast("long") for a in anchors]), key)
+def with_bands(rows: DataFrame, line: str) -> DataFrame:
+    """rows with keys: BANDS longs, for each of as many evenly spaced anchors the hash of the WIDTH shingle hashes after it.
 
-    return _let(longer, keys)
+    The shingle that follows an anchor in the circle of hash values is a line's minimum under one permutation, and
+    the next ones its next minima. So two lines share a band with about the WIDTH-th power of their similarity
+    (here a repeated shingle counts as often as it occurs), and one sorted array gives all bands. Sorted in among the
+    hashes, anchor i has i anchors before it, which tells its place in the array without them. Arrays that are used
+    often are columns of their own: they are computed once and searched by compiled code.
+    """
+    anchors = [F.lit(-(1 << 63) + i * ((1 << 64) // BANDS)).cast("long") for i in range(BANDS)]
+    rows = rows.withColumn("__sorted", F.sort_array(hashes(F.col(line))))
+    rows = rows.withColumn("__circle", F.sort_array(F.concat("__sorted", F.array(*anchors))))
+    rows = rows.withColumn("__longer", F.concat("__sorted", F.slice("__sorted", 1, WIDTH)))
+    rows = rows.withColumn("__at", F.array(*[F.array_position("__circle", a).cast("int") for a in anchors]))
+    # "__at" is named twice, so that the plan keeps it as a column instead of searching inside transform()
+    keys = F.transform("__at", lambda at, i: F.xxhash64(F.slice("__longer", at - i, WIDTH), i))
+    return rows.withColumn("keys", F.when(F.size("__at") > 0, keys)).drop("__sorted", "__circle", "__longer", "__at")
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -61,50 +66,53 @@ def similarity(a: Column, b: Column) -> Column:
     return _let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
 
 
-def _listed_links(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Verified links among the lines of small bands."""
-    few = members.where(F.col("n") <= LISTED).select("key", "line")
-    pairs = few.join(few.select("key", F.col("line").alias("other")), "key").where("line < other").select("line", "other").distinct()
-    sided = pairs.join(texts, "line").withColumnRenamed("norm", "__a")
-    sided = sided.join(texts.select(F.col("line").alias("other"), F.col("norm").alias("__b")), "other")
-    return sided.where(similarity(shingles(F.col("__a")), shingles(F.col("__b"))) >= SIMILARITY).select(F.col("line").alias("a"), F.col("other").alias("b"))
+def _forest(ms: Column, near) -> Column:
+    """Links a, b among the lines ms of a row that join the pairs that near() verifies: a union-find in one expression.
+
+    A line is compared with those before it whose group it has not met yet.
+    """
+
+    def step(roots: Column, i: Column) -> Column:
+        meet = lambda met, j: F.when(~F.array_contains(met, F.get(roots, j)) & near(F.get(ms, j), F.get(ms, i)), F.array_append(met, F.get(roots, j))).otherwise(met)
+        groups = F.aggregate(F.sequence(F.lit(0), i - 1), F.array(F.get(roots, i)), meet)
+        return _let(groups, lambda g: _let(F.array_min(g), lambda least: F.transform(roots, lambda r: F.when(F.array_contains(g, r), least).otherwise(r))))
+
+    n = F.size(ms)
+    roots = F.aggregate(F.sequence(F.lit(1), n - 1), F.sequence(F.lit(0), n - 1), step)
+    ends = _let(roots, lambda rs: F.transform(rs, lambda r, i: F.struct(F.get(ms, i)["line"].alias("a"), F.get(ms, r)["line"].alias("b"))))
+    return F.filter(ends, lambda e: e["a"] != e["b"])
+
+
+def _small_links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links that join the verified pairs of bands of up to TILE lines; bands of the same lines are compared once."""
+    few = members.where(F.col("n") <= TILE).groupBy("key").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    sets = few.select("lines").distinct().select(F.xxhash64("lines").alias("set"), F.explode("lines").alias("line"))
+    rows = sets.join(texts, "line").groupBy("set").agg(F.collect_list(F.struct("line", "norm")).alias("ms")).where("size(ms) > 1")
+    near = lambda x, y: similarity(x["g"], y["g"]) >= SIMILARITY
+    lines = F.transform("ms", lambda m: F.struct(m["line"].alias("line"), shingles(m["norm"]).alias("g")))
+    return rows.select(F.explode(_let(lines, lambda ms: _forest(ms, near))).alias("e")).select("e.a", "e.b")
 
 
 def _tiled_links(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links that join the verified pairs of large bands: lines dealt to tiles, two tiles compared in one row.
+    """Links that join the verified pairs of larger bands: lines dealt to tiles, two tiles compared in one row.
 
-    Within a row a union-find over the pairs leaves each line one link at most. A pair is verified in the first
-    band it shares, so that equal groups in several bands cost once.
+    A pair is verified in the first larger band it shares, so that equal groups in several bands cost once.
     """
-    many = members.where(F.col("n") > LISTED)
+    many = members.where(F.col("n") > TILE)
     bands = many.groupBy("line").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    held = many.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("line"), F.col("tiles")).cast("int"))
+    held = many.withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("line"), F.col("tiles")).cast("int"))
     held = held.join(bands, "line").join(texts, "line")
-    member = F.struct("tile", "line", "norm", "keys").alias("m")
-    paired = held.select("key", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"), member)
+    paired = held.select("key", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"), F.struct("tile", "line", "norm", "keys").alias("m"))
     rows = paired.groupBy("key", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
-    rows = rows.agg(F.sort_array(F.collect_list("m")).alias("ms")).where("size(ms) > 1")
-    key, same = F.col("key"), F.col("lo") == F.col("hi")
+    rows = rows.agg(F.collect_list("m").alias("ms")).where("size(ms) > 1")
+    same = F.col("lo") == F.col("hi")
 
     def near(x: Column, y: Column) -> Column:
-        first = F.array_min(F.array_intersect(x["keys"], y["keys"])) == key
+        first = F.array_min(F.array_intersect(x["keys"], y["keys"])) == F.col("key")
         return (same | (x["tile"] != y["tile"])) & first & (similarity(x["g"], y["g"]) >= SIMILARITY)
 
-    def joined(ms: Column) -> Column:
-        def step(roots: Column, i: Column) -> Column:
-            one = F.get(ms, i)
-            found = F.filter(F.sequence(F.lit(0), i - 1), lambda j: near(F.get(ms, j), one))
-            groups = F.array_distinct(F.concat(F.array(F.get(roots, i)), F.transform(found, lambda j: F.get(roots, j))))
-            return _let(groups, lambda g: _let(F.array_min(g), lambda least: F.transform(roots, lambda r: F.when(F.array_contains(g, r), least).otherwise(r))))
-
-        n = F.size(ms)
-        roots = F.aggregate(F.sequence(F.lit(1), n - 1), F.sequence(F.lit(0), n - 1), step)
-        ends = _let(roots, lambda rs: F.transform(rs, lambda r, i: F.struct(F.get(ms, i)["line"].alias("a"), F.get(ms, r)["line"].alias("b"))))
-        return F.filter(ends, lambda e: e["a"] != e["b"])
-
     lines = F.transform("ms", lambda m: F.struct(m["tile"].alias("tile"), m["line"].alias("line"), shingles(m["norm"]).alias("g"), m["keys"].alias("keys")))
-    return rows.select(F.explode(_let(lines, joined)).alias("e")).select("e.a", "e.b")
+    return rows.select(F.explode(_let(lines, lambda ms: _forest(ms, near))).alias("e")).select("e.a", "e.b")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,7 +126,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "__line"))
     lines = lines.where("doc_id IS NOT NULL").select("doc_id", "line_no", comparable(F.col("__line")).alias("norm")).where("norm <> ''")
-    seen = stored(lines.select("doc_id", "line_no", F.xxhash64("norm").alias("line"), F.xxhash64("norm", F.lit(1)).alias("check"), band_keys(F.col("norm")).alias("keys")))
+    seen = stored(with_bands(lines, "norm").select("doc_id", "line_no", F.xxhash64("norm").alias("line"), F.xxhash64("norm", F.lit(1)).alias("check"), "keys"))
     distinct = stored(seen.groupBy("line", "check").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")))
 
     keyed = seen.select("line", F.explode("keys").alias("key"))
@@ -133,7 +141,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = source.join(small(places, places.count()), F.col("__id") == F.col("at"))
     texts = stored(found.select("line", comparable(F.get(F.split("__text", "\n"), F.col("no"))).alias("norm")).dropDuplicates(["line"]))
 
-    links = stored(_listed_links(members, texts).union(_tiled_links(members, texts)))
+    links = stored(_small_links(members, texts).union(_tiled_links(members, texts)))
     groups = components(links)
     joined = distinct.join(groups, distinct["line"] == groups["node"], "left").select("line", "check", "first", "n", "component")
     joined = stored(joined.where("component IS NOT NULL OR n > 1"))
