@@ -11,7 +11,7 @@ from lectern.functions import items as entries
 from lectern.functions import models
 from lectern.functions import text as t
 from lectern.functions import understanding as ask
-from lectern.operators import fusion, graph, hits, indexing, lexical, library, vector
+from lectern.operators import fusion, graph, hits, indexing, lexical, library, summary, vector
 from lectern.plans.search import Search
 from lectern.session import ship
 from lectern.sources import export
@@ -594,3 +594,25 @@ def semantic_chunks(c: Catalog) -> DataFrame:
     found = vector.nearest(vectors, query_row, TOP).select("id", "similarity", "rank")
     ranked = models.reranked(found.join(chunks, "id"), asked)
     return ranked.select(t.parent_key(F.col("id"), F.lit(None).cast("string")).alias("item_key"), "id", "similarity", "rank")
+
+
+@query("grouped_children", "SELECT conv_id AS parent_key, role AS item_type, count(*) AS n, array_to_string(list_slice(list_sort(list(conv_id || '-' || turn)), 1, 50), ',') AS keys FROM conversations GROUP BY conv_id, role")
+def grouped_children(c: Catalog) -> DataFrame:
+    return summary.grouped_children(c.children())
+
+
+@query("audit_types", "SELECT lang AS item_type, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY lang ORDER BY n DESC, item_type LIMIT 10")
+def audit_types(c: Catalog) -> DataFrame:
+    return summary.audit(c.items(), c.table("labels").where("toxic = 1").select(F.col("doc_id").alias("item_key")))
+
+
+@query("migration_counts", f"WITH {MENTIONS} SELECT 'papers' AS name, count(*) AS n FROM orders UNION ALL SELECT 'papers with chunks', count(*) FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT 'chunk links', count(DISTINCT chunk) FROM me UNION ALL SELECT 'chunks with entities', count(DISTINCT chunk) FROM me UNION ALL SELECT 'paper entity links', count(DISTINCT (l_orderkey, l_suppkey)) FROM lineitem")
+def migration_counts(c: Catalog) -> DataFrame:
+    rows = _mentions(c)
+    edges = c.edges("AUTHORED_BY").withColumn("rel", F.lit("AUTHORED_BY"))
+    return summary.migration_counts(c.papers().select("paper"), rows.select("paper", "chunk").distinct(), rows.select("chunk", "entity"), edges)
+
+
+@query("full_summaries", r"SELECT doc_id AS item_key, round(len(list_filter(regexp_split_to_array(text, '[ \t\n\r\x0B\f]+'), lambda x: x <> '')) * 1.3)::BIGINT AS tokens FROM documents")
+def full_summaries(c: Catalog) -> DataFrame:
+    return c.items().select("item_key", summary.tokens_of(F.col("body")).alias("tokens"))

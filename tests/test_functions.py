@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import chunking, items, models
 from lectern.functions import text as t
 from lectern.functions import understanding as ask
-from lectern.operators import fusion, graph, hits, indexing, library
+from lectern.operators import fusion, graph, hits, indexing, library, summary
 from lectern.sources import export, files, paged
 from lectern.storage import folder
 
@@ -207,3 +207,16 @@ def test_sources_and_sinks(spark):
     parsed = files.parsed(files.binaries(spark, f"{root}/bib"), lambda data: [(data.decode(), ["text"])])
     assert parsed.first().labels == ["text"]
     assert files.parsed(files.binaries(spark, f"{root}/bib"), lambda data: 1 / 0).first().chunk is None
+
+
+def test_summaries(spark):
+    chunks = spark.createDataFrame([(1, 0, "the method and data"), (1, 1, "results show an effect"), (2, 0, "method")], "item_key long, chunk_id int, chunk string")
+    assert [r.chunk_id for r in summary.targeted(chunks, 1, "what effect", 1).collect()] == [1]
+    assert {r.question for r in summary.comprehensive(chunks, 1).collect()} == {"method", "result"}
+    its = spark.createDataFrame([(1, "book", "T", "P", "one two three", "2020", "A")], "item_key long, item_type string, title string, publication string, body string, date string, author string")
+    assert summary.full(its, 1).first().tokens == 4 and summary.quick(its, 1).first().abstract == "one two three"
+    assert its.where(summary.parsed_filter('{"itemType": "book"}')).count() == 1
+    with pytest.raises(ValueError):
+        summary.parsed_filter("[1]")
+    ranked = spark.createDataFrame([(2, 2), (1, 1)], "id long, rank long")
+    assert [r.value for r in summary.compact(ranked, ["id"]).collect()] == ['{"id":1}', '{"id":2}']
