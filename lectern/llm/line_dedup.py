@@ -61,9 +61,17 @@ def with_bands(rows: DataFrame, line: str) -> DataFrame:
     return rows.withColumn("keys", F.when(F.size("__at") > 0, keys)).drop("__sorted", "__circle", "__longer", "__at")
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two arrays of distinct shingle hashes."""
-    return _let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
+def similar(a: Column, b: Column) -> Column:
+    """Whether the Jaccard similarity of two arrays of distinct shingle hashes is SIMILARITY or more; sizes too unlike decide at once."""
+    least, most = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+    jaccard = _let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
+    return (least >= SIMILARITY * most) & (jaccard >= SIMILARITY)
+
+
+def _with_texts(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """members with their lines' text and keys, those of all bands they share with other lines."""
+    bands = members.groupBy("line").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    return members.join(stored(bands.join(texts, "line")), "line")
 
 
 def _forest(ms: Column, near) -> Column:
@@ -83,38 +91,36 @@ def _forest(ms: Column, near) -> Column:
     return F.filter(ends, lambda e: e["a"] != e["b"])
 
 
-def _small_links(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links that join the verified pairs of bands of up to TILE lines; bands of the same lines are compared once."""
-    few = members.where(F.col("n") <= TILE).groupBy("key").agg(F.sort_array(F.collect_list("line")).alias("lines"))
-    sets = few.select("lines").distinct().select(F.xxhash64("lines").alias("set"), F.explode("lines").alias("line"))
-    rows = sets.join(texts, "line").groupBy("set").agg(F.collect_list(F.struct("line", "norm")).alias("ms")).where("size(ms) > 1")
-    near = lambda x, y: similarity(x["g"], y["g"]) >= SIMILARITY
-    lines = F.transform("ms", lambda m: F.struct(m["line"].alias("line"), shingles(m["norm"]).alias("g")))
-    return rows.select(F.explode(_let(lines, lambda ms: _forest(ms, near))).alias("e")).select("e.a", "e.b")
-
-
-def _tiled_links(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links that join the verified pairs of larger bands: lines dealt to tiles, two tiles compared in one row.
-
-    A pair is verified in the first larger band it shares, so that equal groups in several bands cost once.
-    """
-    many = members.where(F.col("n") > TILE)
-    bands = many.groupBy("line").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    held = many.withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("line"), F.col("tiles")).cast("int"))
-    held = held.join(bands, "line").join(texts, "line")
-    paired = held.select("key", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"), F.struct("tile", "line", "norm", "keys").alias("m"))
-    rows = paired.groupBy("key", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
-    rows = rows.agg(F.collect_list("m").alias("ms")).where("size(ms) > 1")
-    same = F.col("lo") == F.col("hi")
+def _verified(rows: DataFrame, across: Column | None = None) -> DataFrame:
+    """Links of rows of key and ms (tile, line, norm, keys). A pair is verified in the first band it shares, so that
+    equal groups in several bands cost once; where across, only if its lines are of two tiles."""
 
     def near(x: Column, y: Column) -> Column:
         first = F.array_min(F.array_intersect(x["keys"], y["keys"])) == F.col("key")
-        return (same | (x["tile"] != y["tile"])) & first & (similarity(x["g"], y["g"]) >= SIMILARITY)
+        apart = (~across | (x["tile"] != y["tile"])) if across is not None else F.lit(True)
+        return apart & first & similar(x["g"], y["g"])
 
     lines = F.transform("ms", lambda m: F.struct(m["tile"].alias("tile"), m["line"].alias("line"), shingles(m["norm"]).alias("g"), m["keys"].alias("keys")))
     return rows.select(F.explode(_let(lines, lambda ms: _forest(ms, near))).alias("e")).select("e.a", "e.b")
 
 
+def _small_links(held: DataFrame) -> DataFrame:
+    """Links among the lines of bands of up to TILE lines; of bands with the same lines the one of the least key is compared."""
+    few = held.where(F.col("n") <= TILE)
+    sets = few.groupBy("key").agg(F.xxhash64(F.sort_array(F.collect_list("line"))).alias("set")).groupBy("set").agg(F.min("key").alias("key"))
+    rows = few.join(sets.select("key"), "key", "left_semi").groupBy("key")
+    return _verified(rows.agg(F.collect_list(F.struct(F.lit(0).alias("tile"), "line", "norm", "keys")).alias("ms")))
+
+
+def _tiled_links(held: DataFrame) -> DataFrame:
+    """Links among the lines of larger bands, dealt to tiles by hash, two tiles compared in one row."""
+    many = held.where(F.col("n") > TILE).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
+    many = many.withColumn("tile", F.pmod(F.xxhash64("line"), F.col("tiles")).cast("int"))
+    paired = many.select("key", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"), F.struct("tile", "line", "norm", "keys").alias("m"))
+    rows = paired.groupBy("key", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
+    return _verified(rows.agg(F.collect_list("m").alias("ms")).where("size(ms) > 1"), F.col("lo") != F.col("hi"))
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line_no (from 0) of every line that repeats an earlier one, exactly or by SIMILARITY; stored.
 
@@ -141,7 +147,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = source.join(small(places, places.count()), F.col("__id") == F.col("at"))
     texts = stored(found.select("line", comparable(F.get(F.split("__text", "\n"), F.col("no"))).alias("norm")).dropDuplicates(["line"]))
 
-    links = stored(_small_links(members, texts).union(_tiled_links(members, texts)))
+    held = _with_texts(members, texts)
+    links = stored(_small_links(held).union(_tiled_links(held)))
     groups = components(links)
     joined = distinct.join(groups, distinct["line"] == groups["node"], "left").select("line", "check", "first", "n", "component")
     joined = stored(joined.where("component IS NOT NULL OR n > 1"))
