@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import log2
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,10 @@ from lectern.llm.scratch import small, stored
 
 #: Characters of a shingle, and the Jaccard similarity of two lines' shingle sets from which they are one.
 SHINGLE, SIMILARITY = 7, 0.8
-#: A line has BANDS bands of WIDTH minima: lines of similarity s share one with 1 - (1 - s^5)^12, 0.99 at 0.8.
-BANDS, WIDTH = 12, 5
+#: A line of more than FEW shingles has BANDS bands of WIDTH minima; one of fewer has a prefix, which misses no pair.
+BANDS, WIDTH, FEW = 12, 5, 40
+#: One line in so many tells which shingles are frequent.
+SAMPLED = 16
 #: Lines of a band that are compared in one row; larger bands are compared tile by tile.
 TILE = 256
 
@@ -42,23 +46,51 @@ def shingles(line: Column) -> Column:
     return F.array_distinct(hashes(line))
 
 
-def with_bands(rows: DataFrame, line: str) -> DataFrame:
-    """rows with keys: BANDS longs, for each of as many evenly spaced anchors the hash of the WIDTH shingle hashes after it.
+def rarity(lines: DataFrame, line: str) -> bytes:
+    """A level from 0 to 127 for each value of a shingle hash's upper 16 bits: how often a sample of short lines has it."""
+    some = lines.where((F.length(line) < FEW / SIMILARITY + SHINGLE) & (F.pmod(F.xxhash64(line, F.lit(2)), F.lit(SAMPLED)) == 0))
+    found = some.select(F.explode(shingles(F.col(line))).alias("h")).groupBy(F.shiftrightunsigned("h", 48).cast("int").alias("at")).count()
+    levels = bytearray(1 << 16)
+    for at, n in found.collect():
+        levels[at] = min(127, int(8 * log2(1 + n)))
+    return bytes(levels)
+
+
+def prefix_size(n: Column) -> Column:
+    """How many of its n shingles, the first in an order common to all lines, a line has in its prefix.
 
-    The shingle that follows an anchor in the circle of hash values is a line's minimum under one permutation, and
-    the next ones its next minima. So two lines share a band with about the WIDTH-th power of their similarity
-    (here a repeated shingle counts as often as it occurs), and one sorted array gives all bands. Sorted in among the
-    hashes, anchor i has i anchors before it, which tells its place in the array without them. Arrays that are used
-    often are columns of their own: they are computed once and searched by compiled code.
+    Similar lines share SIMILARITY of the larger one's shingles at least, so their prefixes share a shingle.
+    """
+    return (n - F.ceil(F.round(n * SIMILARITY, 6)) + 1).cast("int")
+
+
+def with_bands(rows: DataFrame, line: str, levels: bytes) -> DataFrame:
+    """rows with keys, longs of which similar lines share one: a prefix's shingles, or BANDS hashes of WIDTH shingles.
+
+    Sets of at most FEW shingles have as keys their rarest ones by `levels` (see rarity()), enough for every similar
+    pair to meet; so have sets of up to FEW / SIMILARITY, to which those may be similar. Larger sets have a
+    key for each of BANDS evenly spaced anchors, the hash of the WIDTH shingle hashes after it.
+
+    The shingle that follows an anchor in the circle of hash values is a set's minimum under one permutation, and
+    the next ones its next minima. So two lines share a band with about the WIDTH-th power of their similarity,
+    and one sorted array gives all bands. Sorted in among the hashes, anchor i has i anchors before it, which tells
+    its place in the array without them. Arrays that are used often are columns of their own: they are computed once
+    and searched by compiled code.
     """
     anchors = [F.lit(-(1 << 63) + i * ((1 << 64) // BANDS)).cast("long") for i in range(BANDS)]
-    rows = rows.withColumn("__sorted", F.sort_array(hashes(F.col(line))))
-    rows = rows.withColumn("__circle", F.sort_array(F.concat("__sorted", F.array(*anchors))))
-    rows = rows.withColumn("__longer", F.concat("__sorted", F.slice("__sorted", 1, WIDTH)))
-    rows = rows.withColumn("__at", F.array(*[F.array_position("__circle", a).cast("int") for a in anchors]))
+    rows = rows.withColumn("__sorted", F.sort_array(shingles(F.col(line))))
+    few, some = F.size("__sorted") <= FEW, F.size("__sorted") <= int(FEW / SIMILARITY)
+    rows = rows.withColumn("__circle", F.when(~few, F.sort_array(F.concat("__sorted", F.array(*anchors)))))
+    rows = rows.withColumn("__longer", F.when(~few, F.concat("__sorted", F.slice("__sorted", 1, WIDTH))))
+    rows = rows.withColumn("__at", F.when(~few, F.array(*[F.array_position("__circle", a).cast("int") for a in anchors])))
+    level = lambda h: F.ascii(F.substring(F.lit(levels), F.shiftrightunsigned(h, 48).cast("int") + 1, F.lit(1)).cast("string"))
+    place = lambda h: F.shiftleft(level(h).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    rows = rows.withColumn("__first", F.when(some, F.slice(F.sort_array(F.transform("__sorted", place)), F.lit(1), prefix_size(F.size("__sorted")))))
     # "__at" is named twice, so that the plan keeps it as a column instead of searching inside transform()
-    keys = F.transform("__at", lambda at, i: F.xxhash64(F.slice("__longer", at - i, WIDTH), i))
-    return rows.withColumn("keys", F.when(F.size("__at") > 0, keys)).drop("__sorted", "__circle", "__longer", "__at")
+    bands = F.when(F.size("__at") > 0, F.transform("__at", lambda at, i: F.xxhash64(F.slice("__longer", at - i, WIDTH), i)))
+    prefix = F.transform("__first", lambda h: F.xxhash64(h, F.lit(-1)))
+    keys = F.when(few, prefix).when(some, F.concat(prefix, bands)).otherwise(bands)
+    return rows.withColumn("keys", keys).drop("__sorted", "__circle", "__longer", "__at", "__first")
 
 
 def similar(a: Column, b: Column) -> Column:
@@ -91,8 +123,8 @@ def _forest(ms: Column, near) -> Column:
     return F.filter(ends, lambda e: e["a"] != e["b"])
 
 
-def _verified(rows: DataFrame, across: Column | None = None) -> DataFrame:
-    """Links of rows of key and ms (tile, line, norm, keys). A pair is verified in the first band it shares, so that
+def _verified(rows: DataFrame, sets, across: Column | None = None) -> DataFrame:
+    """Links of rows of key and ms (tile, line, norm, keys), sets(norm) being what is compared. A pair is verified in the first band it shares, so that
     equal groups in several bands cost once; where across, only if its lines are of two tiles."""
 
     def near(x: Column, y: Column) -> Column:
@@ -100,25 +132,42 @@ def _verified(rows: DataFrame, across: Column | None = None) -> DataFrame:
         apart = (~across | (x["tile"] != y["tile"])) if across is not None else F.lit(True)
         return apart & first & similar(x["g"], y["g"])
 
-    lines = F.transform("ms", lambda m: F.struct(m["tile"].alias("tile"), m["line"].alias("line"), shingles(m["norm"]).alias("g"), m["keys"].alias("keys")))
+    lines = F.transform("ms", lambda m: F.struct(m["tile"].alias("tile"), m["line"].alias("line"), sets(m["norm"]).alias("g"), m["keys"].alias("keys")))
     return rows.select(F.explode(_let(lines, lambda ms: _forest(ms, near))).alias("e")).select("e.a", "e.b")
 
 
-def _small_links(held: DataFrame) -> DataFrame:
+def _small_links(held: DataFrame, sets) -> DataFrame:
     """Links among the lines of bands of up to TILE lines; of bands with the same lines the one of the least key is compared."""
     few = held.where(F.col("n") <= TILE)
-    sets = few.groupBy("key").agg(F.xxhash64(F.sort_array(F.collect_list("line"))).alias("set")).groupBy("set").agg(F.min("key").alias("key"))
-    rows = few.join(sets.select("key"), "key", "left_semi").groupBy("key")
-    return _verified(rows.agg(F.collect_list(F.struct(F.lit(0).alias("tile"), "line", "norm", "keys")).alias("ms")))
+    alike = few.groupBy("key").agg(F.xxhash64(F.sort_array(F.collect_list("line"))).alias("set")).groupBy("set").agg(F.min("key").alias("key"))
+    rows = few.join(alike.select("key"), "key", "left_semi").groupBy("key")
+    return _verified(rows.agg(F.collect_list(F.struct(F.lit(0).alias("tile"), "line", "norm", "keys")).alias("ms")), sets)
 
 
-def _tiled_links(held: DataFrame) -> DataFrame:
+def _tiled_links(held: DataFrame, sets) -> DataFrame:
     """Links among the lines of larger bands, dealt to tiles by hash, two tiles compared in one row."""
     many = held.where(F.col("n") > TILE).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
     many = many.withColumn("tile", F.pmod(F.xxhash64("line"), F.col("tiles")).cast("int"))
     paired = many.select("key", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"), F.struct("tile", "line", "norm", "keys").alias("m"))
     rows = paired.groupBy("key", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
-    return _verified(rows.agg(F.collect_list("m").alias("ms")).where("size(ms) > 1"), F.col("lo") != F.col("hi"))
+    return _verified(rows.agg(F.collect_list("m").alias("ms")).where("size(ms) > 1"), sets, F.col("lo") != F.col("hi"))
+
+
+def sharing(keyed: DataFrame) -> DataFrame:
+    """key, line, n of keyed's (line, key) whose key several lines share, n of them; stored."""
+    shared = stored(keyed.groupBy("key").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("key"))
+    held = stored(keyed.join(small(shared, shared.count()), "key").select("key", "line").distinct())
+    sizes = stored(held.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    return stored(held.join(sizes, "key"))
+
+
+def similar_links(members: DataFrame, texts: DataFrame, sets=shingles) -> DataFrame:
+    """Links a, b whose groups are those of all similar pairs among the lines that share a key; stored.
+
+    members: sharing(); texts: line, norm of which sets(norm) is the array of distinct hashes that is compared.
+    """
+    held = _with_texts(members, texts)
+    return stored(_small_links(held, sets).union(_tiled_links(held, sets)))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,14 +181,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "__line"))
     lines = lines.where("doc_id IS NOT NULL").select("doc_id", "line_no", comparable(F.col("__line")).alias("norm")).where("norm <> ''")
-    seen = stored(with_bands(lines, "norm").select("doc_id", "line_no", F.xxhash64("norm").alias("line"), F.xxhash64("norm", F.lit(1)).alias("check"), "keys"))
+    seen = stored(with_bands(lines, "norm", rarity(lines, "norm")).select("doc_id", "line_no", F.xxhash64("norm").alias("line"), F.xxhash64("norm", F.lit(1)).alias("check"), "keys"))
     distinct = stored(seen.groupBy("line", "check").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")))
 
-    keyed = seen.select("line", F.explode("keys").alias("key"))
-    shared = stored(keyed.groupBy("key").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("key"))
-    held = stored(keyed.join(small(shared, shared.count()), "key").select("key", "line").distinct())
-    sizes = stored(held.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
-    members = stored(held.join(sizes, "key"))
+    members = sharing(seen.select("line", F.explode("keys").alias("key")))
 
     wanted = members.select("line").distinct()
     places = stored(distinct.join(wanted, "line", "left_semi").select("line", F.col("first.doc_id").alias("at"), F.col("first.line_no").alias("no")).dropDuplicates(["line"]))
@@ -147,9 +192,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = source.join(small(places, places.count()), F.col("__id") == F.col("at"))
     texts = stored(found.select("line", comparable(F.get(F.split("__text", "\n"), F.col("no"))).alias("norm")).dropDuplicates(["line"]))
 
-    held = _with_texts(members, texts)
-    links = stored(_small_links(held).union(_tiled_links(held)))
-    groups = components(links)
+    groups = components(similar_links(members, texts))
     joined = distinct.join(groups, distinct["line"] == groups["node"], "left").select("line", "check", "first", "n", "component")
     joined = stored(joined.where("component IS NOT NULL OR n > 1"))
     firsts = joined.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("kept"))

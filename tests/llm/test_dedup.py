@@ -140,3 +140,24 @@ def test_lines_cases(spark, monkeypatch):
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(lines_left(rows), key=repr)
     assert {r.n_lines for r in got.where("doc_id = 1").collect()} == {0} and "component" in got.columns
     assert line_dedup.deduplicated(df.limit(0)).count() == 0
+
+
+def test_lines_written_several_times(spark):
+    rng = random.Random(4)
+    passage = "".join(rng.choice("abcdefghijklmnop ") for _ in range(158))
+    rows = [(1, passage * 2), (2, passage * 3), (3, "".join(rng.choice("qrstuvwxyz ") for _ in range(158)))]
+    got = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.n_removed for r in got.collect()} == {1: 0, 2: 1, 3: 0}
+
+
+def test_short_lines_lose_no_pair(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        line = "the same start " * (i % 2) + "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(8, 50)))
+        for j in range(2):  # of similarity 0.8 or just above
+            rows.append((2 * i + j, line + "xyzuvwqrst"[: j * ((len(line) - 6) // 4)] if len(line) < 47 else line[: len(line) - j * 4]))
+    got = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = lines_left(rows)
+    assert sum(t == "" for _, t in want) >= 300
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted(want)
