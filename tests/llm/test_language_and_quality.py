@@ -103,3 +103,16 @@ def test_pages_against_their_articles(spark):
 def test_tree_fits_its_table():
     tree = html_text.train()
     assert sum(tree.judge(r[:-1]) == bool(r[-1]) for r in html_text.LABELLED) >= 0.95 * len(html_text.LABELLED)
+
+
+def test_language_margin(spark, docs):
+    import random
+
+    rng = random.Random(1)
+    dutch = "Alle mensen worden vrij en gelijk in waardigheid en rechten geboren. Zij zijn begiftigd met verstand en geweten, en behoren zich jegens elkander in een geest van broederschap te gedragen"
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa"
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for n in (200, 2_000, 20_000, 100_000)]
+    texts = [dutch, dutch * 8, polish, polish * 8, *junk]
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    found = langid.identified(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model)
+    assert [r.doc_id for r in found.where("NOT rejected").collect()] == []
