@@ -61,17 +61,18 @@ def windows(pieces: list[Piece], tiers: tuple[int, ...] = TIERS, last: bool = Fa
 
 
 def packed(
-    docs: DataFrame, path: str = WORD_BPE, tiers: tuple[int, ...] = TIERS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+    docs: DataFrame, path: str = WORD_BPE, tiers: tuple[int, ...] = TIERS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, group_tokens: int = GROUP_TOKENS, in_order: bool = False
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_id (and ids).
 
     A document's ids are its whole text's, then END_ID; a null text is empty and has END_ID alone. Each id is in
     one piece. Windows are full but for one per input partition, whose tier is the longest and which is to be
-    padded to it. Each partition packs its own documents, GROUP_TOKENS at a time, and hands over what does not fill a
-    window; so a task holds GROUP_TOKENS and one document, nothing is shuffled, and a repeated task gives the
+    padded to it. Each partition packs its own documents, group_tokens at a time, and hands over what does not fill a
+    window; so a task holds group_tokens and one document, nothing is shuffled, and a repeated task gives the
     same rows. sequence_id is the partition's number x 2^32 + the window's. step_id groups windows of one tier
     and partition to STEP_TOKENS, so that whole step groups hold equally many tokens. Repeated rows and null ids
-    are documents of their own; extra columns are left out; an empty table gives an empty one.
+    are documents of their own. in_order numbers a group's windows by their first document, so that sequences follow
+    the rows, group by group; else the longest windows come first. Extra columns are left out; an empty table gives an empty one.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     id_type = pa.int64()
@@ -88,6 +89,8 @@ def packed(
         def out(last: bool) -> pa.RecordBatch:
             nonlocal pieces, made, held, waiting
             full, pieces = windows(pieces, tiers, last)
+            if in_order:
+                full.sort(key=lambda w: min(doc for _, doc, _ in w[1]))
             rows: list[list] = [[] for _ in names]
             for tier, parts in full:
                 step = of_tier[tier] * tier // STEP_TOKENS
@@ -113,7 +116,7 @@ def packed(
                 held[count] = key.as_py(), ids
                 pieces.append((len(ids), count, 0))
                 count, waiting = count + 1, waiting + len(ids)
-                if waiting >= GROUP_TOKENS:
+                if waiting >= group_tokens:
                     yield out(False)
         if pieces:
             yield out(True)

@@ -60,3 +60,24 @@ def test_registered():
     names = entry.queries()
     assert {f"op{n}_" for n in range(1, 11)} == {name[: name.index("_") + 1] for name in queries.QUERIES}
     assert names["pipeline"] is corpus_pipeline.run and set(queries.QUERIES) <= set(names)
+
+
+def test_sequences_follow_the_mix(spark, tmp_path):
+    """Six sources of equal weight, in files that Spark reads in another order than that of their names."""
+    from collections import Counter
+
+    path = str(tmp_path / "mixed")
+    rows = [(i, f"word{i % 7} " * (1 + i * 37 % 300), "en", f"s{i % 6 if i < 3000 else 6 + i % 2}", 0) for i in range(6000)]
+    for at in range(0, 6000, 1500):
+        part = spark.createDataFrame(rows[at : at + 1500], "doc_id long, text string, lang string, source string, n_chars long")
+        part.coalesce(1).write.parquet(f"{path}/k={at // 1500}")
+    docs = spark.read.parquet(path).drop("k")
+    got = corpus_pipeline.sequence_packing(spark, docs, "").collect()
+    source, runs = {r[0]: r[3] for r in rows}, {}
+    order = {s: n for n, s in enumerate(sorted({r.sequence_id for r in got}))}
+    for r in got:
+        runs.setdefault(order[r.sequence_id] * 8 // len(order), Counter())[source[r.doc_id]] += r.length
+    assert sum(sum(c.values()) for c in runs.values()) == sum({(r.doc_id): r.doc_tokens for r in got}.values())
+    for run, count in runs.items():
+        assert all(abs(count[f"s{i}"] / count.total() - 1 / 6) < 0.05 for i in range(6)) if run < 3 else True
+        assert all(abs(count[f"s{i}"] / count.total() - 1 / 2) < 0.05 for i in (6, 7)) if run > 4 else True
