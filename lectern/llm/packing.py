@@ -111,8 +111,8 @@ def packed(
 
         for batch in batches:
             kind = batch.column(0).type
-            for key, data in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.append(tokens.ids(data.as_py().decode("utf-8", "replace")), np.uint16(END_ID))
+            for key, text_ids in zip(batch.column(0), tokens.of_texts(batch.column(1)), strict=True):
+                ids = np.append(text_ids, np.uint16(END_ID))
                 held[count] = key.as_py(), ids
                 pieces.append((len(ids), count, 0))
                 count, waiting = count + 1, waiting + len(ids)

@@ -41,8 +41,8 @@ def written(docs: DataFrame, to: str, path: str = WORD_BPE, separator: int = SEP
         ordinal = 0
         with store.open_output_stream(part) as out:
             for batch in batches:
-                for data in batch.column(1):
-                    out.write(tokens.ids(data.as_py().decode("utf-8", "replace")).tobytes())
+                for ids in tokens.of_texts(batch.column(1)):
+                    out.write(ids.tobytes())
                     out.write(end)
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name] * n, pa.string()), pa.array(range(ordinal, ordinal + n), pa.int64())], ["doc_id", "file", "ordinal"])
