@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import audio, html_text, langid, line_dedup, mixing, packing, quality, sharding, simhash, token_files
+from lectern.llm.scratch import stored
 from lectern.session import ship
 
 
@@ -19,7 +20,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(_table(spark, sf_dir, "documents"))
+    return packing.with_steps(stored(packing.packed(_table(spark, sf_dir, "documents"))))
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,3 +159,26 @@ def test_audio_round_trip(spark, codec):
         assert r.pcm == audio.resampled(audio.decode(payload, codec), 8000, 16000).tobytes()
     assert got[2].feature == got[3].feature
     assert audio.expanded(audio.stored_audio(df.limit(0), codec)).count() == 0
+
+
+def test_tiers_and_step_groups(spark):
+    """Mixed lengths use every tier, and the step groups of a tier differ by one window, across partitions."""
+    lengths = [(i * 7919) % 2500 + 1 if i % 4 else (i * 31) % 120 + 1 for i in range(600)]
+    full, _ = packing.windows([(n, i, 0) for i, n in enumerate(lengths)])
+    used = {t: sum(t == tier for tier, _ in full) for t in packing.TIERS}
+    assert min(used.values()) >= 4
+    df = spark.createDataFrame([(i, "a " * n) for i, n in enumerate(lengths)], "doc_id long, text string").repartition(5)
+    got = packing.with_steps(token_files.stored(packing.packed(df)), 4096).where("offset = 0").groupBy("tier", "step_id").count().collect()
+    for tier in packing.TIERS:
+        sizes = {r.step_id: r["count"] for r in got if r.tier == tier}
+        assert sorted(sizes) == list(range(-(-sum(sizes.values()) * tier // 4096))) and max(sizes.values()) - min(sizes.values()) <= 1
+
+
+def test_tokens_of_a_batch():
+    """Texts of all kinds tokenized together, bytes that are no UTF-8 among them, give each text's own ids."""
+    import pyarrow as pa
+
+    texts = [t or "" for _, t in ROWS] + ["CAFÉ 12th-century naïve!!! x'll", " \n ", "Ünïcode ÿ×÷ß µ"]
+    got = list(tokens.word_tokens().of_texts(pa.array([t.encode() for t in texts], pa.binary())))
+    assert [g.tolist() for g in got] == [ids_of(t) for t in texts]
+    assert next(tokens.word_tokens().of_texts(pa.array([b"a \xff b"], pa.binary()))).tolist() == ids_of("a � b")
