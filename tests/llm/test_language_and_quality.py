@@ -105,6 +105,32 @@ def test_tree_fits_its_table():
     assert sum(tree.judge(r[:-1]) == bool(r[-1]) for r in html_text.LABELLED) >= 0.95 * len(html_text.LABELLED)
 
 
+def test_tree_looks_at_neighbours():
+    """The same short block is a menu's heading between links and a heading of the text before a paragraph; without neighbours the tree can't tell."""
+    tree, names = html_text.train(), html_text.FEATURES
+    used = set()
+    nodes = [tree]
+    while nodes:
+        node = nodes.pop()
+        if node.feature >= 0:
+            used.add(names[node.feature])
+            nodes += [node.low, node.high]
+    assert used & {"words_before", "density_before"} and used & {"words_after", "density_after"} and used >= {"density", "marks"}
+    soup = "<div><a href=a>Home page</a></div><div><a href=b>All our news</a></div><div>Topics</div><div><a href=c>Art and life</a></div><div><a href=d>Sport of today</a></div>"
+    soup += "<div>The heading</div><div>" + "Many words of running text stand here. " * 5 + "</div><div><a href=e>More of this</a></div><div><a href=f>Imprint</a></div>"
+    got = html_text.main_text(soup, tree).split("\n")
+    assert got[0] == "The heading" and len(got) == 2
+    alone = [(*r[:2], *[0] * 4, r[6], r[7]) for r in html_text.LABELLED]
+    assert "Topics" in html_text.main_text(soup, html_text.train(tuple(alone)))
+
+
+def test_article_text_is_kept_whole():
+    page = """<article><h2>A title</h2><section id="related-work"><p>Related work.</p></section><div class="legal"><p>The law says so.</p></div><p>Let <math><mi>x</mi></math> be one.</p>
+<div class="search-methods"><p>Searching well.</p></div><noscript><p>Told without scripts.</p></noscript><object><p>Of an object.</p></object></article>"""
+    want = ["A title", "Related work.", "The law says so.", "Let x be one.", "Searching well.", "Told without scripts.", "Of an object."]
+    assert html_text.main_text(page, html_text.train()).split("\n") == want
+
+
 def test_language_margin(spark, docs):
     import random
 
