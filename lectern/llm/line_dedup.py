@@ -14,7 +14,7 @@ from lectern.llm.scratch import small, stored
 SHINGLE, SIMILARITY = 7, 0.8
 #: A line of more than FEW shingles has BANDS bands of WIDTH minima; one of fewer has a prefix, which misses no pair.
 BANDS, WIDTH, FEW = 12, 5, 40
-#: One line in so many tells which shingles are frequent.
+#: One row in so many tells which shingles are frequent; any order finds all pairs, this one fewer others.
 SAMPLED = 16
 #: Lines of a band that are compared in one row; larger bands are compared tile by tile.
 TILE = 256
@@ -47,8 +47,8 @@ def shingles(line: Column) -> Column:
 
 
 def rarity(lines: DataFrame, line: str) -> bytes:
-    """A level from 0 to 127 for each value of a shingle hash's upper 16 bits: how often a sample of short lines has it."""
-    some = lines.where((F.length(line) < FEW / SIMILARITY + SHINGLE) & (F.pmod(F.xxhash64(line, F.lit(2)), F.lit(SAMPLED)) == 0))
+    """A level from 0 to 127 for each value of a shingle hash's upper 16 bits: how often the short ones of lines have it."""
+    some = lines.where(F.length(line) < FEW / SIMILARITY + SHINGLE)
     found = some.select(F.explode(shingles(F.col(line))).alias("h")).groupBy(F.shiftrightunsigned("h", 48).cast("int").alias("at")).count()
     levels = bytearray(1 << 16)
     for at, n in found.collect():
@@ -100,12 +100,6 @@ def similar(a: Column, b: Column) -> Column:
     return (least >= SIMILARITY * most) & (jaccard >= SIMILARITY)
 
 
-def _with_texts(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """members with their lines' text and keys, those of all bands they share with other lines."""
-    bands = members.groupBy("line").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    return members.join(stored(bands.join(texts, "line")), "line")
-
-
 def _forest(ms: Column, near) -> Column:
     """Links a, b among the lines ms of a row that join the pairs that near() verifies: a union-find in one expression.
 
@@ -124,101 +118,145 @@ def _forest(ms: Column, near) -> Column:
 
 
 def _verified(rows: DataFrame, sets, across: Column | None = None) -> DataFrame:
-    """Links of rows of key and ms (tile, line, norm, keys), sets(norm) being what is compared. A pair is verified in the first band it shares, so that
-    equal groups in several bands cost once; where across, only if its lines are of two tiles."""
+    """Links of rows of key and ms (tile, line, group, norm, keys), sets(norm) being what is compared. A pair of different groups is verified in the
+    first key it shares, so that equal lines under several keys cost once; where across, only if its lines are of two tiles."""
 
     def near(x: Column, y: Column) -> Column:
         first = F.array_min(F.array_intersect(x["keys"], y["keys"])) == F.col("key")
         apart = (~across | (x["tile"] != y["tile"])) if across is not None else F.lit(True)
-        return apart & first & similar(x["g"], y["g"])
+        return apart & (x["group"] != y["group"]) & first & similar(x["g"], y["g"])
 
-    lines = F.transform("ms", lambda m: F.struct(m["tile"].alias("tile"), m["line"].alias("line"), sets(m["norm"]).alias("g"), m["keys"].alias("keys")))
-    return rows.select(F.explode(_let(lines, lambda ms: _forest(ms, near))).alias("e")).select("e.a", "e.b")
+    member = lambda m: F.struct(m["tile"].alias("tile"), m["line"].alias("line"), m["group"].alias("group"), sets(m["norm"]).alias("g"), m["keys"].alias("keys"))
+    return rows.select(F.explode(_let(F.transform("ms", member), lambda ms: _forest(ms, near))).alias("e")).select("e.a", "e.b")
 
 
 def _small_links(held: DataFrame, sets) -> DataFrame:
-    """Links among the lines of bands of up to TILE lines; of bands with the same lines the one of the least key is compared."""
+    """Links among the lines of keys of up to TILE lines; of keys with the same lines the least one is compared."""
     few = held.where(F.col("n") <= TILE)
     alike = few.groupBy("key").agg(F.xxhash64(F.sort_array(F.collect_list("line"))).alias("set")).groupBy("set").agg(F.min("key").alias("key"))
     rows = few.join(alike.select("key"), "key", "left_semi").groupBy("key")
-    return _verified(rows.agg(F.collect_list(F.struct(F.lit(0).alias("tile"), "line", "norm", "keys")).alias("ms")), sets)
+    return _verified(rows.agg(F.collect_list(F.struct(F.lit(0).alias("tile"), "line", "group", "norm", "keys")).alias("ms")), sets)
 
 
 def _tiled_links(held: DataFrame, sets) -> DataFrame:
-    """Links among the lines of larger bands, dealt to tiles by hash, two tiles compared in one row."""
+    """Links among the lines of keys of more, dealt to tiles by hash, two tiles compared in one row."""
     many = held.where(F.col("n") > TILE).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
     many = many.withColumn("tile", F.pmod(F.xxhash64("line"), F.col("tiles")).cast("int"))
-    paired = many.select("key", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"), F.struct("tile", "line", "norm", "keys").alias("m"))
+    paired = many.select("key", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"), F.struct("tile", "line", "group", "norm", "keys").alias("m"))
     rows = paired.groupBy("key", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
     return _verified(rows.agg(F.collect_list("m").alias("ms")).where("size(ms) > 1"), sets, F.col("lo") != F.col("hi"))
 
 
 def sharing(keyed: DataFrame) -> DataFrame:
-    """key, line, n of keyed's (line, key) whose key several lines share, n of them; stored."""
-    shared = stored(keyed.groupBy("key").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("key"))
-    held = stored(keyed.join(small(shared, shared.count()), "key").select("key", "line").distinct())
-    sizes = stored(held.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
-    return stored(held.join(sizes, "key"))
+    """key, least, line of keyed's (line, key) whose key several lines share, least being the least of them; stored."""
+    shared = stored(keyed.groupBy("key").agg(F.min("line").alias("least"), F.max("line").alias("most")).where("least <> most").select("key", "least"))
+    return stored(keyed.join(small(shared, shared.count(), 16), "key").select("key", "least", "line").distinct())
+
+
+def _stars(members: DataFrame, texts: DataFrame, sets) -> DataFrame:
+    """Links of lines that are similar to the least line of one of their keys: each such pair is compared once, whatever keys it shares."""
+    pairs = members.where("line <> least").select(F.col("least").alias("a"), F.col("line").alias("b")).distinct()
+    of = lambda end: texts.select(F.col("line").alias(end), F.col("norm").alias(f"norm_{end}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    near = _let(F.struct(sets(F.col("norm_a")).alias("a"), sets(F.col("norm_b")).alias("b")), lambda e: similar(e["a"], e["b"]))
+    return both.where(near).select("a", "b")
 
 
 def similar_links(members: DataFrame, texts: DataFrame, sets=shingles) -> DataFrame:
     """Links a, b whose groups are those of all similar pairs among the lines that share a key; stored.
 
     members: sharing(); texts: line, norm of which sets(norm) is the array of distinct hashes that is compared.
+    Each line is first compared with the least line of each of its keys, which settles most keys: all copies
+    of a text meet in one star. Under a key whose lines are then of several groups, the lines other than the least
+    one (whose pairs are known) are compared across groups, in tiles of TILE lines, so that no task holds a key.
     """
-    held = _with_texts(members, texts)
-    return stored(_small_links(held, sets).union(_tiled_links(held, sets)))
+    links = stored(_stars(members, texts, sets))
+    groups = components(links)
+    grouped = members.join(groups.withColumnRenamed("node", "line"), "line", "left").withColumn("group", F.coalesce("component", "line"))
+    grouped = stored(grouped.select("key", "least", "line", "group"))
+    others = grouped.where("line <> least").groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("n"))
+    undecided = stored(others.where("lo <> hi").select("key", "n"))
+    if undecided.isEmpty():
+        return links
+    held = grouped.where("line <> least").join(small(undecided, undecided.count(), 16), "key").select("key", "n", "line", "group")
+    keys = held.groupBy("line").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    held = held.join(stored(keys.join(texts, "line")), "line")
+    return stored(links.union(_small_links(held, sets)).union(_tiled_links(held, sets)))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with __r1 and __r2, 128 bits that tell rows apart by id and whole text."""
+    key = [F.col(id_col).cast("long"), F.col(text_col)]
+    return docs.withColumn("__r1", F.xxhash64(*key)).withColumn("__r2", F.xxhash64(*key[::-1]))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line_no (from 0) of every line that repeats an earlier one, exactly or by SIMILARITY; stored.
+    """__r1, __r2 (see _rows()), line_no (from 0) of every line that repeats an earlier one, exactly or by SIMILARITY; stored.
 
     Lines are split at \\n and compared as comparable(); blank ones are no lines. Equal lines, then lines linked by
-    similarity, form groups (connected components); the first line of a group by doc_id and line_no stays and is
-    not returned. Texts are never shuffled for candidates: bands of 64-bit keys are. Rows with a null id or text
-    have no lines here. Rows that repeat a doc_id share their lines' fate. Hot lines are one row after the first
-    aggregate, and large bands are compared in tiles, so no task holds a group.
+    similarity, form groups (connected components); the first line of a group by doc_id, row hash and line_no stays and
+    is not returned; rows without an id come last. Rows that repeat an id have lines of their own; equal whole rows
+    have the same ones. Texts are never shuffled for candidates: keys of 64 bits are. Null texts have no lines.
+    Hot lines are one row after the first aggregate, and no task holds a key's lines.
     """
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "__line"))
-    lines = lines.where("doc_id IS NOT NULL").select("doc_id", "line_no", comparable(F.col("__line")).alias("norm")).where("norm <> ''")
-    seen = stored(with_bands(lines, "norm", rarity(lines, "norm")).select("doc_id", "line_no", F.xxhash64("norm").alias("line"), F.xxhash64("norm", F.lit(1)).alias("check"), "keys"))
-    distinct = stored(seen.groupBy("line", "check").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")))
+    rows = _rows(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), "__r1", "__r2", F.col(text_col).alias("__text"))
 
-    members = sharing(seen.select("line", F.explode("keys").alias("key")))
+    def lines_of(some: DataFrame) -> DataFrame:
+        found = some.select("doc_id", "__r1", "__r2", F.posexplode(F.split("__text", "\n")).alias("line_no", "__line"))
+        return found.withColumn("norm", comparable(F.col("__line"))).where("norm <> ''").drop("__line")
 
+    lines, levels = lines_of(rows), rarity(lines_of(rows.where(F.pmod("__r1", F.lit(SAMPLED)) == 0)), "norm")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__r1", "__r2", "line_no").alias("place")
+    seen = stored(with_bands(lines, "norm", levels).select(place, F.xxhash64("norm").alias("line"), F.xxhash64("norm", F.lit(1)).alias("check"), "keys"))
+    distinct = stored(seen.groupBy("line", "check").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")))
+
+    members = sharing(seen.select("line", F.explode("keys").alias("key")))
     wanted = members.select("line").distinct()
-    places = stored(distinct.join(wanted, "line", "left_semi").select("line", F.col("first.doc_id").alias("at"), F.col("first.line_no").alias("no")).dropDuplicates(["line"]))
-    source = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    found = source.join(small(places, places.count()), F.col("__id") == F.col("at"))
-    texts = stored(found.select("line", comparable(F.get(F.split("__text", "\n"), F.col("no"))).alias("norm")).dropDuplicates(["line"]))
+    firsts = distinct.join(wanted, "line", "left_semi").dropDuplicates(["line"])
+    places = stored(firsts.groupBy("first.__r1", "first.__r2").agg(F.collect_list(F.struct("line", "first.line_no")).alias("at")))
+    found = rows.join(small(places, firsts.count(), 32), ["__r1", "__r2"])
+    found = found.select(F.split("__text", "\n").alias("__lines"), F.explode("at").alias("at"))
+    texts = stored(found.select("at.line", comparable(F.get("__lines", F.col("at.line_no"))).alias("norm")).dropDuplicates(["line"]))
 
     groups = components(similar_links(members, texts))
     joined = distinct.join(groups, distinct["line"] == groups["node"], "left").select("line", "check", "first", "n", "component")
     joined = stored(joined.where("component IS NOT NULL OR n > 1"))
     firsts = joined.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("kept"))
     kept = joined.join(stored(firsts), "component", "left").select("line", "check", F.coalesce("kept", "first").alias("kept"))
-    again = seen.select("doc_id", "line_no", "line", "check").join(stored(kept), ["line", "check"])
-    return stored(again.where(F.struct("doc_id", "line_no") != F.col("kept")).select("doc_id", "line_no").distinct())
+    again = seen.select("place", "line", "check").join(stored(kept), ["line", "check"])
+    return stored(again.where(F.col("place") != F.col("kept")).select("place.__r1", "place.__r2", "place.line_no").distinct())
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """rows with __copy: whether an equal one (by __r1 and __r2) comes before; rows that have equals are stored to be told apart."""
+    several = stored(rows.groupBy("__r1", "__r2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__r1", "__r2"))
+    if several.isEmpty():
+        return rows.withColumn("__copy", F.lit(False))
+    several = small(several, several.count(), 16)
+    equal = stored(rows.join(several, ["__r1", "__r2"], "left_semi").withColumn("__at", F.monotonically_increasing_id()))
+    first = stored(equal.groupBy("__r1", "__r2").agg(F.min("__at").alias("__at")).select("__at", F.lit(False).alias("__copy")))
+    told = equal.join(first, "__at", "left").withColumn("__copy", F.coalesce("__copy", F.lit(True))).drop("__at")
+    return rows.join(several, ["__r1", "__r2"], "left_anti").withColumn("__copy", F.lit(False)).unionByName(told)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated_lines() taken out of their texts, and n_lines, n_removed (long; 0 for null texts).
 
     All rows and columns stay; columns of docs named n_lines or n_removed are replaced. A text all of whose lines
-    repeat others becomes empty; a null text stays null.
+    repeat others becomes empty; a null text stays null. Of rows with equal ids and texts one keeps its lines.
     """
     gone = repeated_lines(docs, id_col, text_col)
-    rows = gone.groupBy("doc_id").agg(F.collect_list("line_no").alias("__gone")).withColumnRenamed("doc_id", "__id")
-    found = docs.join(small(rows, gone.count()), F.col(id_col).cast("long") == F.col("__id"), "left")
+    removed = gone.groupBy("__r1", "__r2").agg(F.collect_list("line_no").alias("__gone"))
+    found = _copies(_rows(docs, id_col, text_col)).join(small(removed, gone.count(), 32), ["__r1", "__r2"], "left")
     lines = F.split(text_col, "\n")
+    inked = F.when(F.col("__copy"), F.filter(F.transform(lines, lambda x, i: F.when(comparable(x) != "", i)), lambda i: i.isNotNull()))
+    found = found.withColumn("__gone", F.when(F.size(inked) > 0, inked).otherwise(F.col("__gone")))
 
     def left(all_lines: Column) -> Column:
         at = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("__gone"))
         return F.array_join(F.transform(at, lambda i: F.get(all_lines, i)), "\n")
 
     text = F.when(F.col("__gone").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(_let(lines, left))
-    found = found.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-    found = found.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines")))
-    found = found.withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    found = found.withColumn("n_removed", F.when(F.col("__gone").isNull(), 0).otherwise(F.col("n_removed")))
-    return found.withColumn(text_col, text).drop("__gone", "__id")
+    found = found.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"))
+    found = found.withColumn("n_removed", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"))
+    return found.withColumn(text_col, text).drop("__gone", "__copy", "__r1", "__r2")

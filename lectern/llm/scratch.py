@@ -10,6 +10,10 @@ from lectern.storage import discard, folder, stored
 __all__ = ["discard", "folder", "small", "stored"]
 
 
-def small(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
-    """df marked for broadcast if its counted rows are few and narrow; beyond that Spark shuffles both sides."""
-    return F.broadcast(df) if rows <= most else df
+#: Bytes of a table that is sent whole to every executor, at most.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame, rows: int, width: int) -> DataFrame:
+    """df marked for broadcast if its counted rows, of so many bytes each, are within BROADCAST_BYTES; beyond that Spark shuffles both sides."""
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df

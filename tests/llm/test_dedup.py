@@ -2,7 +2,6 @@
 
 import random
 import re
-from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -98,13 +97,26 @@ def test_components(spark, seed):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def row_hashes(key, text):
+    """What tells rows of one id apart: XXH64 of id and text, of text and id, each seeded by the one before; nulls are passed over."""
+    parts = [None if key is None else key.to_bytes(8, "little", signed=True), None if text is None else text.encode()]
+    made = []
+    for order in (parts, parts[::-1]):
+        seed = 42
+        for data in order:
+            seed = seed if data is None else xxhash.xxh64_intdigest(data, seed=seed)
+        made.append(seed - (1 << 64) if seed >> 63 else seed)
+    return tuple(made)
+
+
 def lines_left(rows):
-    """(doc_id, text) after deduplication, by comparing all pairs."""
+    """(doc_id, text) after deduplication, by comparing all pairs. Of equal rows the first one keeps its lines."""
     norm = lambda x: x.strip(" \t\x0b\x0c\r").lower()
-    seen = sorted({(k, i, norm(x)) for k, t in rows if k is not None and t is not None for i, x in enumerate(t.split("\n")) if norm(x)})
+    place = lambda k, t, i: (k is None, k or 0, *row_hashes(k, t), i)
+    seen = sorted({(place(k, t, i), norm(x)) for k, t in rows if t is not None for i, x in enumerate(t.split("\n")) if norm(x)})
     first = {}
-    for k, i, x in seen:
-        first.setdefault(x, (k, i))
+    for at, x in seen:
+        first.setdefault(x, at)
     texts = list(first)
     grams = [{x[i : i + 7] for i in range(max(1, len(x) - 6))} for x in texts]
     links = [(i, j) for i in range(len(texts)) for j in range(i) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])]
@@ -113,11 +125,12 @@ def lines_left(rows):
     for x, root in zip(texts, roots, strict=True):
         kept[root] = min(kept.get(root, first[x]), first[x])
     of = {x: kept[root] for x, root in zip(texts, roots, strict=True)}
-    gone = defaultdict(set)
-    for k, i, x in seen:
-        if of[x] != (k, i):
-            gone[k].add(i)
-    return [(k, t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if k is None or i not in gone[k])) for k, t in rows]
+    left, met = [], set()
+    for k, t in rows:
+        stays = lambda i, x: not norm(x) or ((k, t) not in met and of[norm(x)] == place(k, t, i))  # noqa: E731, B023
+        left.append((k, t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if stays(i, x))))
+        met.add((k, t))
+    return left
 
 
 def test_lines_table(spark):
@@ -161,3 +174,13 @@ def test_short_lines_lose_no_pair(spark):
     want = lines_left(rows)
     assert sum(t == "" for _, t in want) >= 300
     assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted(want)
+
+
+def test_rows_that_share_an_id(spark):
+    """Each keeps its own lines: a repeated id hides no line, null ids take part, and of equal rows one keeps its lines."""
+    rows = [(0, "the same first line"), (1, "the same first line\nsecond line of the first row"), (1, "a unique line nobody else has\nand one more of them"), (1, None)]
+    rows += [(2, "equal rows of one id\n\nhave equal lines"), (2, "equal rows of one id\n\nhave equal lines"), (None, "the same first line\nonly here, without an id"), (None, "only here, without an id")]
+    got = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+    assert left == sorted(lines_left(rows), key=repr)
+    assert (1, "a unique line nobody else has\nand one more of them") in left and (2, "") in left
