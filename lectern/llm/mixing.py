@@ -3,36 +3,26 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.positions import numbered
+from lectern.llm.scratch import small
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 8_192
-#: Slots after which the schedule of a phase repeats; weights are multiples of 1 / PERIOD.
-PERIOD = 2_048
-#: Sources at most: the schedule has up to sources x PERIOD rows and is broadcast.
+#: Slots that are scheduled together, at least; as many more as give the least source two of them, LONGEST at most.
+PERIOD, LONGEST = 2_048, 1 << 20
+#: Sources with a schedule of their own; of more, the smaller ones share one as if they were a single source.
 MOST_SOURCES = 256
 #: Rows sorted together when a source is cut into blocks.
 PART_ROWS = 2_048
-
-
-def shares(weights: Mapping[int, float], period: int = PERIOD) -> dict[int, int]:
-    """Weights as whole slots of a period, at least 1 each, by largest remainder; they sum to period."""
-    total = sum(weights.values())
-    exact = {i: w / total * period for i, w in weights.items()}
-    slots = {i: max(1, int(x)) for i, x in exact.items()}
-    order = sorted(exact, key=lambda i: (slots[i] - exact[i], i))
-    spare = period - sum(slots.values())
-    for i in (order * (1 + spare // len(order)))[:spare] if spare > 0 else []:
-        slots[i] += 1
-    while sum(slots.values()) > period:
-        largest = max(slots, key=lambda i: (slots[i], -i))
-        slots[largest] -= 1
-    return slots
+#: Weights count as whole multiples of the total over SCALE, 1 at least.
+SCALE = 1 << 40
 
 
 def pfair_period(slots: Mapping[int, int]) -> list[tuple[int, int]]:
@@ -60,32 +50,69 @@ def pfair_period(slots: Mapping[int, int]) -> list[tuple[int, int]]:
     return plan
 
 
-def phases(blocks: Mapping[int, int], weights: Mapping[int, float], period: int = PERIOD) -> tuple[list[tuple], list[tuple]]:
-    """The schedule until all sources are used up, and its repeating slots.
-
-    First (source, phase, first block, first slot, share): a phase ends with the last block of a source, and the
-    sources that are left share its slots in proportion to their weights. Second (phase, source, k, slot in period).
-    """
-    left, done, start, phase = {i: n for i, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, 0
-    spans, slots = [], []
+@dataclass(frozen=True)
+class Phase:
+    """Slots from start to start + length, in which the sources left share by weight (whole numbers), done blocks being behind them."""
+
+    start: int
+    length: int
+    period: int
+    weights: dict[int, int]
+    done: dict[int, int]
+
+    def reached(self, periods: int) -> dict[int, int]:
+        """Slots each source has had after so many periods.
+
+        Running sums of the weights are rounded, so that the shares sum up and each is less than one from weight x slots,
+        after any number of periods: nothing adds up.
+        """
+        total, slots, before, upto, made = sum(self.weights.values()), periods * self.period, 0, 0, {}
+        for i, w in self.weights.items():
+            upto += w
+            end = slots * upto // total
+            made[i], before = end - before, end
+        return made
+
+    def plan(self, number: int) -> list[tuple[int, int, int, int, int]]:
+        """(source, block, release, deadline, slot) of one period's slots."""
+        was, now, first = self.reached(number), self.reached(number + 1), self.start + number * self.period
+        share = {i: now[i] - was[i] for i in self.weights if now[i] > was[i]}
+        window = lambda i, k: (k * self.period // share[i], -(-(k + 1) * self.period // share[i]))
+        made = []
+        for slot, (i, k) in enumerate(pfair_period(share)):
+            release, deadline = window(i, k)
+            made.append((i, self.done[i] + was[i] + k, first + release, first + deadline, first + slot))
+        return made
+
+
+def phases(blocks: Mapping[int, int], weights: Mapping[int, float], period: int = PERIOD, start: int = 0) -> list[Phase]:
+    """Phases until all blocks of the sources have run: one ends with a source's last block, and the sources left share its slots."""
+    left, done, made = {i: n for i, n in blocks.items() if n}, dict.fromkeys(blocks, 0), []
     while left:
-        share = shares({i: weights[i] for i in left}, period)
-        at: dict[int, list[int]] = {i: [] for i in left}
-        for slot, (i, _) in enumerate(pfair_period(share)):
-            at[i].append(slot)
-        last = lambda i: (left[i] - 1) // share[i] * period + at[i][(left[i] - 1) % share[i]]  # noqa: E731, B023
-        end = min(last(i) for i in left) + 1
-        for i in sorted(left):
-            spans.append((i, phase, done[i], start, share[i]))
-            slots += [(phase, i, k, slot) for k, slot in enumerate(at[i])]
-        for i in list(left):
-            ran = end // period * share[i] + sum(slot < end % period for slot in at[i])
-            done[i] += ran
-            left[i] -= ran
-            if not left[i]:
-                del left[i]
-        start, phase = start + end, phase + 1
-    return spans, slots
+        total = sum(weights[i] for i in left)
+        whole = {i: max(1, round(weights[i] / total * SCALE)) for i in left}
+        length = min(LONGEST, max(period, -(-2 * sum(whole.values()) // min(whole.values()))))
+        whole = {i: max(w, -(-2 * SCALE // LONGEST)) for i, w in whole.items()} if length == LONGEST else whole
+        phase = Phase(start, 0, length, whole, {i: done[i] for i in left})
+        low, high = 0, 1
+        ends = lambda n: any(c >= left[i] for i, c in phase.reached(n).items())  # noqa: E731, B023
+        while not ends(high):
+            low, high = high, 2 * high
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (low, mid) if ends(mid) else (mid, high)
+        ran, end = phase.reached(low), 0
+        for i, _, _, _, slot in phase.plan(low):
+            ran[i] += 1
+            if ran[i] == left[i]:
+                end = slot + 1
+                break
+        made.append(Phase(start, end - start, length, whole, phase.done))
+        for i, n in ran.items():
+            done[i] += n
+            left[i] -= n
+        left, start = {i: n for i, n in left.items() if n}, end
+    return made
 
 
 def mixed(
@@ -103,55 +130,48 @@ def mixed(
 
     A source's rows are put in an order of a hash, and each block has block_bytes of their text (UTF-8 bytes
     plus 1 each; a row belongs to the block in which it starts, a longer one spans the next). Blocks run in
-    the slots of Pfair phases (see phases()): slot, then block_row, orders the whole mix; release and deadline
-    are the slots of the block's window. weights maps sources to targets; else a source weighs its bytes to
-    `power`. Sources without a positive weight run when all others are used up. A null source is a source of
-    its own, null texts are empty, repeated rows and null ids stay; an empty table gives an empty one. Every
-    row gets one place. The driver holds a row per source (MOST_SOURCES at most, else ValueError) and the
-    schedule, sources x period rows at most.
+    the slots of Pfair phases: slot, then block_row, orders the whole mix; release and deadline are the slots of the
+    block's window. Each period's shares come from rounded running targets, and within it the earliest deadline runs
+    first: a source is less than one block from its share of a period, so less than two from its target at any slot,
+    however many there are. weights maps sources to targets; else a source weighs its bytes to `power`. Sources
+    without a positive weight run when all others are used up. Beyond MOST_SOURCES sources the smaller ones are
+    scheduled as one, of the sum of their weights. A null source is a source of its own, null texts are empty, repeated
+    rows and null ids stay; an empty table gives an empty one. Every row gets one place. The driver holds a row per
+    source and the phases, as many as sources at most; tasks schedule periods, and blocks meet their slots in a join.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(id_col, text_col).alias("__order"),
         (F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + 1).cast("long").alias("__size"), *[F.col(c).alias(f"__keep_{c}") for c in keep],
     )
-    found = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("__size").alias("size")).limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    found = sorted(found, key=lambda r: (r.source is not None, r.source))
-    target = {i: float(weights.get(r.source, 0)) if weights is not None else float(r.size) ** power for i, r in enumerate(found)}
-    least = min([w for w in target.values() if w > 0], default=1.0)
-    blocks = {i: (r.size - 1) // block_bytes + 1 for i, r in enumerate(found)}
+    found = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("__size").alias("size")).collect()
+    weight = lambda r: max(0.0, float(weights.get(r.source, 0))) if weights is not None else float(r.size) ** power
+    found = sorted(found, key=lambda r: (weight(r) <= 0, -r.size, r.source is not None, r.source))
+    target: dict[int, float] = {}
+    sizes: dict[int, list[int]] = {}
+    for at, r in enumerate(found):
+        i = min(at, MOST_SOURCES - 1)
+        target[i] = target.get(i, 0.0) + weight(r)
+        sizes.setdefault(i, []).append(r.size)
+    counts = {i: sum(r.n for r in found[i : None if i == MOST_SOURCES - 1 else i + 1]) for i in sizes}
+    blocks = {i: (sum(own) - 1) // block_bytes + 1 for i, own in sizes.items()}
     first, later = {i: n for i, n in blocks.items() if target[i] > 0}, {i: n for i, n in blocks.items() if target[i] <= 0}
-    spans, slots = phases(first, target, period)
-    if later:
-        more, more_slots = phases(later, dict.fromkeys(later, least), period)
-        n, end = len({s[1] for s in spans}), 0
-        if spans:
-            tail = spans[-1]
-            end = max(s[3] + (blocks[s[0]] - 1 - s[2]) // s[4] * period + period for s in spans if s[1] == tail[1])
-        spans += [(i, p + n, b, s + end, q) for i, p, b, s, q in more]
-        slots += [(p + n, i, k, s) for p, i, k, s in more_slots]
+    made = phases(first, target, period)
+    made += phases(later, dict.fromkeys(later, 1.0), period, made[-1].start + made[-1].length if made else 0)
+
+    def schedule(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for number, at in zip(batch["phase"], batch["period"], strict=True):
+                phase = made[number]
+                plan = [p for p in phase.plan(at) if p[4] < phase.start + phase.length]
+                yield pd.DataFrame(plan, columns=["__s", "__b", "release", "deadline", "slot"]).assign(phase=number)
+
     spark = docs.sparkSession
-    by_source: dict[int, list] = {i: [] for i in blocks}
-    for i, phase, block, slot, share in spans:
-        by_source[i].append((phase, block, slot, share))
-    sources = spark.createDataFrame(
-        [(i, r.source, r.n // PART_ROWS + 1, by_source[i]) for i, r in enumerate(found)],
-        "__i int, __source string, __units int, __spans array<struct<phase: int, block: long, slot: long, share: long>>",
-    )
-    table = spark.createDataFrame(slots, "__phase int, __of int, __k long, __at long")
-    rows = rows.join(F.broadcast(sources), F.col("source").cast("string").eqNullSafe(F.col("__source"))).drop("__source", "__spans")
+    spans = spark.createDataFrame([(i, -(-p.length // p.period)) for i, p in enumerate(made)], "phase int, n long")
+    periods = spans.select("phase", F.explode(F.expr("sequence(0L, n - 1)")).alias("period"))
+    table = periods.repartition(max(1, min(1024, sum(-(-p.length // p.period) for p in made) // 16)), "phase", "period").mapInPandas(schedule, "__s int, __b long, release long, deadline long, slot long, phase int")
+    sources = spark.createDataFrame([(min(at, MOST_SOURCES - 1), r.source, counts[min(at, MOST_SOURCES - 1)] // PART_ROWS + 1) for at, r in enumerate(found)], "__i int, __source string, __units int")
+    rows = rows.join(small(sources, len(found), 64), F.col("source").cast("string").eqNullSafe(F.col("__source"))).drop("__source")
     rows = numbered(rows, ["__i"], ["__order", "doc_id"], F.col("__units"), "__size")
     rows = rows.withColumn("block", F.floor(F.col("before") / block_bytes).cast("long"))
-    rows = rows.join(F.broadcast(sources.select(F.col("__i").alias("__s"), "__spans")), F.col("__i") == F.col("__s"))
-    rows = rows.withColumn("__span", F.element_at(F.filter("__spans", lambda s: s["block"] <= F.col("block")), -1))
-    since, share = F.col("block") - F.col("__span.block"), F.col("__span.share")
-    rows = rows.withColumn("phase", F.col("__span.phase")).withColumn("__within", F.pmod(since, share))
-    rows = rows.join(F.broadcast(table), (F.col("phase") == F.col("__phase")) & (F.col("__i") == F.col("__of")) & (F.col("__within") == F.col("__k")))
-    turn = F.col("__span.slot") + F.expr("(block - __span.block) div __span.share") * period
-    return rows.select(
-        "doc_id", "source", "block", "phase",
-        (turn + F.expr(f"(__within * {period}) div __span.share")).alias("release"),
-        (turn + F.expr(f"((__within + 1) * {period} + __span.share - 1) div __span.share")).alias("deadline"),
-        (turn + F.col("__at")).alias("slot"), F.col("position").alias("block_row"), *[F.col(f"__keep_{c}").alias(f"keep_{c}") for c in keep],
-    )
+    rows = rows.join(table, (F.col("__i") == F.col("__s")) & (F.col("block") == F.col("__b")))
+    return rows.select("doc_id", "source", "block", "phase", "release", "deadline", "slot", F.col("position").alias("block_row"), *[F.col(f"__keep_{c}").alias(f"keep_{c}") for c in keep])

@@ -3,8 +3,7 @@
 import zlib
 from itertools import combinations
 
-import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -59,31 +58,41 @@ def test_positions(spark):
         seen[r.k] = at + 1, total + r.n
 
 
-@given(st.dictionaries(st.integers(0, 30), st.floats(0.01, 100), min_size=1, max_size=20))
-def test_pfair(weights):
-    slots = mixing.shares(weights, 256)
-    assert sum(slots.values()) == 256
-    done = dict.fromkeys(slots, 0)
+@given(st.dictionaries(st.integers(0, 30), st.integers(1, 60), min_size=1, max_size=12))
+def test_pfair(slots):
+    period, done = sum(slots.values()), dict.fromkeys(slots, 0)
     for t, (i, k) in enumerate(mixing.pfair_period(slots), 1):
         assert k == done[i]
         done[i] += 1
-        assert all(abs(done[j] - t * slots[j] / 256) < 1 for j in slots)
+        assert all(abs(done[j] - t * slots[j] / period) < 1 for j in slots)
     assert done == slots
 
 
-@given(st.dictionaries(st.integers(0, 8), st.integers(0, 700), min_size=1, max_size=6))
-def test_phases(blocks):
-    spans, slots = mixing.phases(blocks, {i: i + 1.0 for i in blocks}, 64)
-    at = {}
-    for p, i, k, s in slots:
-        at.setdefault((p, i), {})[k] = s
-    used = []
-    for i, n in blocks.items():
-        own = [s for s in spans if s[0] == i]
-        for b in range(n):
-            _, phase, first, start, share = [s for s in own if s[2] <= b][-1]
-            used.append(start + (b - first) // share * 64 + at[phase, i][(b - first) % share])
-    assert sorted(used) == list(range(sum(blocks.values())))
+@settings(max_examples=30)
+@given(st.dictionaries(st.integers(0, 8), st.integers(0, 700), min_size=1, max_size=6), st.floats(0.0001, 3))
+def test_phases(blocks, odd):
+    """Every block has one slot, all slots are used, and sources keep within two blocks of their targets while a phase lasts."""
+    weights = {i: odd + i * 1.37 for i in blocks}
+    used, done, t = {}, dict.fromkeys(blocks, 0), 0
+    for phase in mixing.phases(blocks, weights, 64):
+        assert phase.start == t
+        begun, total = dict(done), sum(weights[i] for i in phase.weights)
+        for n in range(-(-phase.length // phase.period)):
+            for i, k, release, deadline, slot in phase.plan(n):
+                if slot < phase.start + phase.length:
+                    assert slot == t and k == done[i] and release <= slot < deadline
+                    used[i, k] = slot
+                    done[i] += 1
+                    t += 1
+                    assert all(abs(done[j] - begun[j] - (t - phase.start) * weights[j] / total) < 2 for j in phase.weights)
+    assert done == blocks and sorted(used.values()) == list(range(sum(blocks.values())))
+
+
+def test_targets_hold_over_many_periods():
+    weights = {i: (i + 1) ** 0.5 for i in range(20)}
+    phase, total = mixing.Phase(0, 1 << 40, 2048, {i: round(w * 2**30) for i, w in weights.items()}, dict.fromkeys(weights, 0)), sum(weights.values())
+    for periods in (1, 1000, 10**6, 10**9):
+        assert all(abs(n - periods * 2048 * weights[i] / total) < 1 + periods * 2048 * 2**-30 for i, n in phase.reached(periods).items())
 
 
 def test_mix_table(spark):
@@ -103,5 +112,23 @@ def test_mix_cases(spark):
     first = max(r.slot for r in got if r.source in ("a", None))
     assert all(r.slot > first for r in got if r.source in ("b", "c")) and {r.keep_slot for r in got} == {5}
     assert mixing.mixed(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mixed(spark.range(300).select("id", F.lit("t").alias("text"), F.col("id").cast("string").alias("source"), F.col("id").alias("doc_id")))
+    many = mixing.mixed(spark.range(300).select("id", F.lit("t").alias("text"), F.col("id").cast("string").alias("source"), F.col("id").alias("doc_id")), block_bytes=4).collect()
+    assert sorted(int(r.source) for r in many) == list(range(300)) == sorted(r.doc_id for r in many)
+
+
+def test_shards_of_the_finest_order(spark, monkeypatch):
+    """The capacity is that of single groups, also where the first ranges hold many."""
+    import hashlib
+    import random
+
+    rng = random.Random(1)
+    monkeypatch.setattr(sharding, "FIRST_BITS", 3)
+    monkeypatch.setattr(sharding, "MORE_BITS", 4)
+    texts = ["x" * int(rng.paretovariate(0.8)) + str(i % 300) for i in range(400)]
+    sizes = {}
+    for t in texts:
+        key = int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+        sizes[key] = sizes.get(key, 0) + len(t) + 1
+    got = sharding.shard_by_bytes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5).collect()
+    check_shards(list(enumerate(texts)), got, 5)
+    assert max(sum(r.size for r in got if r.shard == s) for s in range(5)) == sharding.smallest_capacity([sizes[k] for k in sorted(sizes)], 5)
