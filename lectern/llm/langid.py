@@ -13,10 +13,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows sampled per language to fill its dictionary, bytes taken of each, and languages at most.
-SAMPLE_ROWS, SAMPLE_BYTES, MOST_LANGUAGES = 512, 1_024, 256
-#: Bytes of a language's dictionary.
-DICT_BYTES = 96 << 10
+from lectern.llm.scratch import small
+
+#: Distinct texts sampled per language to fill its dictionary, and characters taken of each, from anywhere in it.
+SAMPLE_TEXTS, SAMPLE_CHARS = 512, 1_024
+#: Bytes of a language's dictionary, and of all together: with many languages each has fewer.
+DICT_BYTES, ALL_BYTES = 96 << 10, 24 << 20
 #: A text is compressed in pieces of so many characters, each against the whole dictionary.
 PIECE_CHARS = 2_048
 LEVEL = 13
@@ -54,32 +56,33 @@ def plain(text: str) -> str:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """A dictionary per non-null language of docs, of at most SAMPLE_ROWS texts' first SAMPLE_BYTES characters.
+    """A dictionary per non-null language of docs, from SAMPLE_CHARS characters of each of at most SAMPLE_TEXTS texts.
 
-    The sample is the texts with the smallest hashes, found by a threshold per language from its row count, so
-    that about 2 x SAMPLE_ROWS rows of each language reach the driver. Lines that the sample repeats, such as
-    licences, are left out: they say little of a language. Null and empty texts teach nothing. At most MOST_LANGUAGES languages (else ValueError).
+    The sample is the distinct texts with the smallest hashes, found by a threshold per language from its number of
+    distinct texts, so that about 2 x SAMPLE_TEXTS of each language reach the driver, however often a text is
+    repeated; the hash tells also where in a text its part begins. Lines that the sample repeats, such as
+    licences, say little of a language and are left out, unless nothing else is left. Null and empty texts teach nothing.
     """
     known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text <> ''")
-    counts = known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     span = 1 << 30
     hashed = known.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(span)))
-    below = F.lit(False)
-    for lang, n in counts:
-        below = below | ((F.col("lang") == lang) & (F.col("h") < math.ceil(min(1.0, 2 * SAMPLE_ROWS / n) * span)))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.xxhash64("text")).alias("texts")).collect()
+    limits = [(r.lang, math.ceil(min(1.0, 2 * SAMPLE_TEXTS / r.texts) * span)) for r in counts]
+    below = small(docs.sparkSession.createDataFrame(limits, "__lang string, __below long"), len(limits), 64)
+    sampled = hashed.join(below, F.col("lang").cast("string") == F.col("__lang")).where("h < __below")
+    part = F.substring("text", F.pmod("h", F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)).cast("int") + 1, F.lit(SAMPLE_CHARS)).alias("text")
     texts: dict[str, list] = defaultdict(list)
-    for r in hashed.where(below).select("lang", "h", F.substring("text", 1, SAMPLE_BYTES).alias("text")).distinct().collect():
+    for r in sampled.select("lang", "h", part).distinct().collect():
         texts[r.lang].append((r.h, r.text))
-    lines = {lang: [line for _, t in sorted(sample)[:SAMPLE_ROWS] for line in map(plain, t.split("\n"))] for lang, sample in texts.items()}
+    lines = {lang: [line for _, t in sorted(sample)[:SAMPLE_TEXTS] for line in map(plain, t.split("\n"))] for lang, sample in texts.items()}
     often = Counter(line for own in lines.values() for line in own)
+    most = min(DICT_BYTES, ALL_BYTES // max(1, len(counts)))
     made = []
-    for lang, _ in sorted(counts, key=lambda r: (-r[1], r[0])):
-        if lang not in lines:
-            continue
-        chosen = [line for line in lines[lang] if often[line] == 1]
-        made.append((lang, " ".join(chosen).encode()[-DICT_BYTES:]))
+    for r in sorted(counts, key=lambda r: (-r.n, r.lang)):
+        own = lines.get(r.lang, [])
+        content = " ".join(line for line in own if often[line] == 1).encode()
+        content = content if len(content) >= 8 else " ".join(dict.fromkeys(own)).encode()
+        made.append((r.lang, content[-most:]))
     return LanguageModel(tuple((lang, content) for lang, content in made if len(content) >= 8))
 
 
