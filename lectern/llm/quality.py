@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,16 +13,18 @@ GAPS = r"[\x20\x09-\x0D]+"
 #: White space for translate(), which replaces single characters.
 BLANKS = "\t\n\x0b\x0c\r "
 SYMBOLS = "#*$%&|<>"
-#: A sentence end, then closing quotes or brackets.
-SENTENCE_END = r"[.!?:;\x{2026}][\x22'\x{201D}\x{2019}\x{BB})\]]*$"
+#: A sentence end in any script (Latin, Arabic, Urdu, Devanagari, Ethiopic, Khmer, Burmese, Armenian, CJK), then closing quotes or brackets.
+SENTENCE_END = r"[.!?:;\x{2026}\x{037E}\x{0589}\x{061B}\x{061F}\x{06D4}\x{0964}\x{0965}\x{104A}\x{104B}\x{1362}\x{1367}\x{17D4}\x{203C}\x{203D}\x{3002}\x{FF01}\x{FF0E}\x{FF1A}\x{FF1B}\x{FF1F}\x{FF61}][\x22'\x{201D}\x{2019}\x{BB}\x{300D}\x{300F}\x{FF09})\]]*\z"
 #: Lines of at least so many words must end a sentence.
 PROSE_WORDS = 8
-#: Separators between the entries of a menu or breadcrumb line.
-NAVIGATION = r"(\||\x{BB}|\x{203A}|\x{2022}|\x{B7}).*(\||\x{BB}|\x{203A}|\x{2022}|\x{B7})"
+#: Separators between the entries of a menu or breadcrumb line, of which a line has two.
+SEPARATORS = "|\xbb\u203a\u2022\xb7"
+#: Phrases of notices, in lower case.
 BOILERPLATE = (
-    r"(?i)(all rights reserved|javascript (is|must be)|cookie(s)? (policy|settings|notice)|privacy policy"
-    r"|terms of (use|service)|lorem ipsum|sign (in|up) (to|for)|subscribe to our|click here to|share (this|on) |powered by )"
-)
+    "all rights reserved", "javascript is", "javascript must be", "cookie policy", "cookies policy", "cookie settings", "cookies settings", "cookie notice", "cookies notice",
+    "privacy policy", "terms of use", "terms of service", "lorem ipsum", "sign in to", "sign in for", "sign up to", "sign up for", "subscribe to our", "click here to",
+    "share this", "share on ", "powered by ",
+)
 #: Symbol characters per word, and runs of exclamation marks per word, from which a line is noise.
 NOISE_PER_WORD = 0.3
 #: Documents keep at least this share of their non-blank characters.
@@ -59,17 +64,20 @@ def _let(value: Column, use) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line with a word breaks a rule: noise, shouting, navigation, boilerplate, or no sentence end."""
+    """Whether a line with a word breaks a rule: noise, shouting, navigation, boilerplate, or no sentence end.
+
+    White space at the line's end, such as the CR of a CRLF text, is no part of it. Cheap rules come first.
+    """
     words = F.size(words_of(line))
     noise = F.length(line) - F.length(F.translate(line, SYMBOLS, "")) + F.regexp_count(line, F.lit("!!+"))
-    letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
-    capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]", ""))
+    capitals = F.length(F.regexp_replace(line, r"\P{Lu}+", ""))
+    letters = F.length(F.regexp_replace(line, r"\P{L}+", ""))
     return (
-        (noise > NOISE_PER_WORD * words)
+        (F.length(line) - F.length(F.translate(line, SEPARATORS, "")) >= 2)
+        | (noise > NOISE_PER_WORD * words)
+        | ((words >= PROSE_WORDS) & ~F.rtrim(line, F.lit(BLANKS)).rlike(SENTENCE_END))
         | ((words >= 3) & (capitals > 0.7 * letters))
-        | line.rlike(NAVIGATION)
-        | line.rlike(BOILERPLATE)
-        | ((words >= PROSE_WORDS) & ~F.rtrim(line).rlike(SENTENCE_END))
+        | _let(F.lower(line), lambda low: reduce(or_, [F.contains(low, F.lit(p)) for p in BOILERPLATE]))
     )
 
 
@@ -108,7 +116,8 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-ORACLE_SQL = r"""
+PHRASES = " OR ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)
+ORACLE_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
 ), w AS (
@@ -135,10 +144,10 @@ WITH d AS (
   SELECT rid, sum(chars) AS chars FROM ln
   WHERE NOT (
     length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) + len(regexp_extract_all(x, '!!+')) > 0.3 * n
-    OR (n >= 3 AND length(regexp_replace(x, '[^\p{Lu}]', '', 'g')) > 0.7 * length(regexp_replace(x, '[^\p{L}]', '', 'g')))
-    OR regexp_matches(x, '(\||\x{BB}|\x{203A}|\x{2022}|\x{B7}).*(\||\x{BB}|\x{203A}|\x{2022}|\x{B7})')
-    OR regexp_matches(x, '(?i)(all rights reserved|javascript (is|must be)|cookie(s)? (policy|settings|notice)|privacy policy|terms of (use|service)|lorem ipsum|sign (in|up) (to|for)|subscribe to our|click here to|share (this|on) |powered by )')
-    OR (n >= 8 AND NOT regexp_matches(rtrim(x, ' '), '[.!?:;\x{2026}][\x22''\x{201D}\x{2019}\x{BB})\]]*$'))
+    OR (n >= 3 AND length(regexp_replace(x, '[^\p{{Lu}}]', '', 'g')) > 0.7 * length(regexp_replace(x, '[^\p{{L}}]', '', 'g')))
+    OR length(x) - length(regexp_replace(x, '[|\x{{BB}}\x{{203A}}\x{{2022}}\x{{B7}}]', '', 'g')) >= 2
+    OR {PHRASES}
+    OR (n >= 8 AND NOT regexp_matches(regexp_replace(x, '[\x20\x09-\x0D]+\z', ''), '{SENTENCE_END.replace("'", "''")}'))
   ) GROUP BY rid
 )
 SELECT doc_id, n_words, word_chars, n_symbols, (len(inked) - len(list_distinct(inked)))::BIGINT AS n_dup_lines,

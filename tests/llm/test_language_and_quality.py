@@ -142,3 +142,33 @@ def test_language_margin(spark, docs):
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
     found = langid.identified(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model)
     assert [r.doc_id for r in found.where("NOT rejected").collect()] == []
+
+
+def test_repeated_texts_do_not_hide_a_language(spark):
+    """A language of few distinct texts, each many times, or of texts that differ in a number only, is learned."""
+    spanish = "Todos los seres humanos nacen libres e iguales en dignidad y derechos y dotados como están de razón"
+    english = [f"All human beings are born free and equal in dignity and rights, said number {i} of the {i % 7} speakers" for i in range(300)]
+    rows = [("es", spanish)] * 3000 + [("en", t) for t in english]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert {lang for lang, _ in model.dictionaries} == {"es", "en"}
+    many = langid.fit(spark.createDataFrame([(f"l{i}", f"words of the language {i} " * 3) for i in range(400)], "lang string, text string"))
+    assert len(many.dictionaries) == 400
+
+
+def test_quality_equals_sql_on_odd_texts(spark):
+    """CRLF texts, sentence ends of other scripts, trailing tabs and lone CRs mean the same in Spark and in SQL."""
+    import duckdb
+
+    line = "This is a whole sentence of ten plain words here now"
+    hindi = "यह एक पूरा वाक्य है जिसमें दस सादे शब्द हैं।"
+    texts = [f"{line}.\r\n" * 8, "".join(" ".join(f"w{i}x{j}" for j in range(10)) + ".\t\r\n" for i in range(9)), hindi, "\n".join(" ".join(f"शब्द{i}{j}" for j in range(9)) + "।" for i in range(6)), f"{line}\x85 and on.\n" * 3, f"{line}. {line}\r{line}.", None, "", "یہ ایک مکمل جملہ ہے جس میں دس سادہ الفاظ ہیں۔\n" * 2, "SIGN UP TO Our list\nａｂ ｃ！", "A 1 B 2 C 3", "ПРИВЕТ ВСЕМ ЛЮДЯМ\nпривет всем людям на этой большой и старой земле."]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    columns = "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept"
+    got = sorted(tuple(r) for r in quality.clean_lines(df).selectExpr(*columns.split(", ")).collect())
+    assert got == sorted(con.execute(f"SELECT {columns} FROM ({quality.ORACLE_SQL})").fetchall())
+    kept = {r[0] for r in got if r[-1]}
+    assert {1, 3} <= kept
