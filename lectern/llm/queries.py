@@ -29,7 +29,8 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.expanded(audio.stored_audio(_table(spark, sf_dir, "documents")), with_pcm=False)
+    media = stored(audio.stored_audio(_table(spark, sf_dir, "documents")))
+    return audio.expanded(media, with_pcm=False)
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
