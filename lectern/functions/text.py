@@ -65,6 +65,28 @@ def in_context(text: Column, word: str, before: int = 100, after: int = 200) ->
     return F.when(at > 0, found)
 
 
+def filled(value: Column) -> Column:
+    """The value without outer blanks, null if nothing is left."""
+    return F.nullif(F.trim(value), F.lit(""))
+
+
+def document_text(title: Column, creators: Column, abstract: Column, publication: Column, tags: Column, note: Column, fulltext: Column) -> Column:
+    """What an item is indexed by: its fields in turn, tags (an array) joined, the note without markup; empty ones left out."""
+    parts = [title, creators, abstract, publication, F.array_join(tags, " "), stripped_html(note), fulltext]
+    return F.concat_ws(" ", *[filled(p) for p in parts])
+
+
+def searchable_text(fields: dict[str, Column]) -> Column:
+    """Labelled sections with a blank line between; empty fields are left out."""
+    return F.concat_ws("\n\n", *[F.concat(F.lit(f"{label}: "), filled(value)) for label, value in fields.items()])
+
+
+def snippet(body: Column, width: int = 200) -> Column:
+    """A note's text without markup, cut to width with an ellipsis."""
+    text = F.trim(note_lines(body))
+    return F.when(F.length(text) > width, F.concat(F.substring(text, 1, width), F.lit("..."))).otherwise(text)
+
+
 def truncated(text: Column, tokens_most: int = 5000, chars_per_token: int = 3) -> Column:
     return F.substring(text, 1, tokens_most * chars_per_token)
 

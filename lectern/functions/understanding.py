@@ -69,8 +69,30 @@ def intent_column(text: Column, kind: str = "search") -> Column:
             hit = hit | lower.rlike(p)
         value = F.struct(F.lit(name).alias("intent"), F.lit(confidence).alias("confidence"))
         found = F.when(hit, value) if found is None else found.when(hit, value)
-    name, confidence = DEFAULTS.get(kind, ("comprehensive", 0.6))
-    return found.otherwise(F.struct(F.lit(name).alias("intent"), F.lit(confidence).alias("confidence")))
+    if kind == "summary":
+        asks, short = lower.rlike(r"^(what|how|why|who|when|where|which)\b"), F.size(F.array_remove(F.split(lower, r"\s+"), "")) <= 5
+        name, confidence = F.when(asks, "targeted").when(short, "quick").otherwise("comprehensive"), 0.6
+    else:
+        name, confidence = F.lit(DEFAULTS[kind][0]), DEFAULTS[kind][1]
+    return found.otherwise(F.struct(name.alias("intent"), F.lit(confidence).alias("confidence")))
+
+
+def conjunctions(text: Column) -> Column:
+    """Whether a request joins parts by and, or, about: a struct of three flags."""
+    has = lambda w: F.lower(text).rlike(rf"\s{w}\s")
+    return F.struct(has("and").alias("has_and"), has("or").alias("has_or"), has("about").alias("has_about"))
+
+
+def parameters(text: Column) -> Column:
+    """What a request names: quoted (in double quotes), key (8 capitals or digits), limit (a number after last, top, first or recent),
+    year_from and year_to, author (after by or from). A struct; what is not named is null."""
+    got = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
+    years = F.transform(F.regexp_extract_all(text, F.lit(r"\b((?:19|20)[0-9]{2})\b"), F.lit(1)), lambda y: y.cast("int"))
+    return F.struct(
+        got(r"\"([^\"]+)\"").alias("quoted"), got(r"\b([A-Z0-9]{8})\b").alias("key"),
+        got(r"(?i)\b(?:last|top|first|recent) ([0-9]{1,4})\b").cast("int").alias("limit"),
+        F.array_min(years).alias("year_from"), F.array_max(years).alias("year_to"), got(r"\b(?:by|from) (\p{Lu}[\p{L}'-]+)").alias("author"),
+    )
 
 
 def years(text: str) -> tuple[int, int] | None:
@@ -109,16 +131,21 @@ def decompose(text: str) -> list[SubQuery]:
 
 
 def decompose_column(text: Column) -> Column:
-    """Parts of each request at its conjunctions: an array of struct<text, kind, importance>; see decompose()."""
+    """decompose() of a column of requests: an array of struct<text, kind, importance>."""
     whole = F.trim(text)
 
-    def parts(pattern: str, kind: str, importance: float) -> Column:
-        found = F.filter(F.transform(F.split(whole, pattern), lambda p: F.trim(p)), lambda p: p != "")
-        return F.transform(found, lambda p: F.struct(p.alias("text"), F.lit(kind).alias("kind"), F.lit(importance).alias("importance")))
-
-    required, optional = parts(r"(?i)\s+(and|with|plus)\s+", "required", 1.0), parts(r"(?i)\s+or\s+", "optional", 0.7)
-    one = F.array(F.struct(whole.alias("text"), F.lit("simple").alias("kind"), F.lit(1.0).alias("importance")))
-    return F.when(F.size(required) > 1, required).when(F.size(optional) > 1, optional).otherwise(one)
+    def listed(found: Column, kind: str, importance: float) -> Column:
+        kept = F.filter(F.transform(found, lambda p: F.trim(p)), lambda p: p != "")
+        return F.transform(kept, lambda p: F.struct(p.alias("text"), F.lit(kind).alias("kind"), F.lit(importance).alias("importance")))
+
+    one = lambda kind: listed(F.array(whole), kind, 1.0)
+    required, optional = listed(F.split(whole, r"(?i)\s+(and|with|plus)\s+"), "required", 1.0), listed(F.split(whole, r"(?i)\s+or\s+"), "optional", 0.7)
+    sides, commas = F.split(whole, r"(?i)\s+(about|in|on|for|of|using|through)\s+", 2), listed(F.split(whole, ","), "support", 0.5)
+    phrases = F.regexp_extract_all(whole, F.lit(r"\b[A-Z][A-Za-z0-9_-]*(?:\s+[A-Z][A-Za-z0-9_-]*)*"), F.lit(0))
+    several = F.slice(F.filter(phrases, lambda p: p.contains(" ")), 1, 3)
+    found = F.when(F.size(required) > 1, required).when(F.size(optional) > 1, optional)
+    found = found.when(F.size(sides) == 2, F.concat(one("full"), listed(sides, "support", 0.6))).when(F.size(commas) > 1, F.concat(one("full"), commas))
+    return found.when(F.size(phrases) > 1, F.concat(one("full"), listed(several, "phrase", 0.4))).otherwise(one("simple"))
 
 
 def may_expand(text: str) -> bool:

@@ -1,6 +1,6 @@
 """Walks and aggregates on a typed graph: relatedness, citation chains, collaboration, influence, trends.
 
-Edges are rows of src and dst, one relation each. Hops are bounded and few, so each is a join; a bounded start
+Edges are rows of src and dst, one relation each. Each hop is a join; a bounded start
 set keeps its side small enough for Spark to broadcast.
 """
 
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from lectern.storage import discard, stored
 
-MOST_HOPS = 3
+#: Hops that are one plan; further ones are stored, each before the next.
+PLANNED_HOPS = 3
 
 
 def examples(rows: DataFrame, key: str, value: str, most: int) -> DataFrame:
@@ -31,8 +32,6 @@ def related(edges: DataFrame, start: int, n: int) -> DataFrame:
 
 def chain(edges: DataFrame, start: int, hops: int) -> DataFrame:
     """id, hops: what can be reached over edges in either direction in at most `hops` steps, by the fewest."""
-    if hops > MOST_HOPS:
-        raise ValueError(f"at most {MOST_HOPS} hops")
     both = edges.union(edges.select("dst", "src")).distinct()
     spark = edges.sparkSession
     seen = spark.createDataFrame([(start, 0)], "id long, hops int")
@@ -40,6 +39,7 @@ def chain(edges: DataFrame, start: int, hops: int) -> DataFrame:
     for hop in range(1, hops + 1):
         step = both.join(edge.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
         edge = step.join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop))
+        edge = stored(edge) if hops > PLANNED_HOPS else edge
         seen = seen.union(edge)
     return seen.where("hops > 0")
 
@@ -49,14 +49,13 @@ def neighbours(edges: DataFrame, start: int, hops: int, n: int) -> DataFrame:
 
     edges go from papers to targets (concepts, people). papers counts the sources shared with the nearer targets.
     """
-    if hops > MOST_HOPS:
-        raise ValueError(f"at most {MOST_HOPS} hops")
     edge = edges.sparkSession.createDataFrame([(start,)], "id long")
     seen, found = edge, None
     for hop in range(1, hops + 1):
         papers = edges.join(edge.select(F.col("id").alias("dst")), "dst").select("src").distinct()
         step = edges.join(papers, "src").groupBy(F.col("dst").alias("id")).agg(F.countDistinct("src").alias("papers"))
         step = step.join(seen, "id", "left_anti")
+        step = stored(step) if hops > PLANNED_HOPS else step
         edge = step.select("id")
         seen = seen.union(edge)
         rows = step.select("id", F.lit(hop).alias("hops"), "papers")
@@ -154,6 +153,11 @@ def found_entities(nodes: DataFrame, query: str, labels: list[str] | None = None
     return rows.orderBy("name", "node").limit(n)
 
 
+def available(nodes: DataFrame) -> DataFrame:
+    """One row: whether the graph has a node."""
+    return nodes.limit(1).agg((F.count(F.lit(1)) > 0).alias("available"))
+
+
 def without(papers: DataFrame, has_chunk: DataFrame) -> DataFrame:
     """Papers that have no chunk."""
     return papers.join(has_chunk, "paper", "left_anti")
@@ -171,11 +175,15 @@ def matched_chunks(stored_chunks: DataFrame, texts: DataFrame, short: int = 100,
     First equal texts; then the chunk of the same position that holds the text's first `short` characters; then, of
     the paper's chunks that hold its first `long`, the one with most words in common, over half of them.
     """
-    pairs = texts.join(stored_chunks.withColumnRenamed("position", "__at"), "paper")
     words = lambda c: F.array_distinct(F.split(F.lower(c), r"\s+"))
+    at = stored_chunks.withColumnRenamed("position", "__at")
+    same = texts.join(at, (texts["paper"] == at["paper"]) & (F.md5(texts["text"]) == F.md5(at["body"]))).where("text = body")
+    same = same.groupBy("text_id").agg(F.min("chunk").alias("chunk")).withColumn("tier", F.lit(1))
+    left = texts.join(same, "text_id", "left_anti")
+    there = left.join(at, (left["paper"] == at["paper"]) & (left["position"] == at["__at"])).where(F.col("body").contains(F.substring("text", 1, short)))
+    there = there.groupBy("text_id").agg(F.min("chunk").alias("chunk")).withColumn("tier", F.lit(2))
+    rest = left.join(there, "text_id", "left_anti").join(stored_chunks.select("paper", "chunk", "body"), "paper")
     share = F.size(F.array_intersect(words(F.col("text")), words(F.col("body")))) / F.greatest(F.size(words(F.col("text"))), F.lit(1))
-    tier = F.when(F.col("text") == F.col("body"), 1).when((F.col("position") == F.col("__at")) & F.col("body").contains(F.substring("text", 1, short)), 2)
-    tier = tier.when(F.col("body").contains(F.substring("text", 1, long)) & (share > 0.5), 3)
-    rows = pairs.withColumn("tier", tier).where("tier IS NOT NULL").withColumn("share", share)
-    order = Window.partitionBy("text_id").orderBy("tier", F.desc("share"), "chunk")
-    return rows.withColumn("i", F.row_number().over(order)).where("i = 1").select("text_id", "chunk", "tier")
+    rest = rest.where(F.col("body").contains(F.substring("text", 1, long))).withColumn("share", share).where("share > 0.5")
+    best = rest.groupBy("text_id").agg(F.min(F.struct(-F.col("share"), "chunk")).alias("b")).select("text_id", "b.chunk", F.lit(3).alias("tier"))
+    return same.unionByName(there).unionByName(best)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import normal_key
@@ -83,6 +83,16 @@ def valid_cache(cache: DataFrame, files: DataFrame, key: str = "item_key") -> Da
     return cache.join(files.select(key, F.md5("content").alias("__md5")), key).where(F.col("pdf_md5") == F.col("__md5")).drop("__md5")
 
 
+def cache_put(cache: DataFrame, rows: DataFrame, key: str = "item_key", made: str = "made") -> DataFrame:
+    """cache with rows put in by key, the latest of a key's."""
+    return merged(cache, rows, key, [made])
+
+
+def cache_cleared(cache: DataFrame, before: Column, made: str = "made") -> DataFrame:
+    """cache without rows made before a moment; rows of unknown age go too."""
+    return cache.where(F.col(made) >= before)
+
+
 def due(mode: str, last: str | None, now: str, days: int = 1) -> bool:
     """Whether an index update is due: never by hand, always at start, else by the days since the last one."""
     from datetime import datetime

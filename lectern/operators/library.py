@@ -7,8 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Levels of a collection tree.
-MOST_LEVELS = 8
+from lectern.storage import stored
+
+#: Levels of a collection tree that are planned before they are stored.
+STORED_LEVELS = 4
 
 
 def equals(columns: Mapping[str, object]) -> Column:
@@ -53,16 +55,71 @@ def tagged(tags: DataFrame, expressions: list[str]) -> DataFrame:
 
 
 def collection_tree(collections: DataFrame) -> DataFrame:
-    """key, path, level of collections (key, name, parent_key), a level a join; a missing parent makes a root."""
+    """key, path, level of collections (key, name, parent_key) to any depth; a missing parent makes a root.
+
+    A level is a join with the one above; every STORED_LEVELS levels are written, and the last one that has rows ends
+    the walk. Collections that no root reaches, which lie on a cycle or below one, are returned with a null path and level.
+    """
     known = collections.select(F.col("key").alias("__key"))
     roots = collections.join(known, F.col("parent_key") == F.col("__key"), "left").where("__key IS NULL")
-    level = roots.select("key", F.col("name").alias("path"), F.lit(0).alias("level"))
-    found = level
-    for i in range(1, MOST_LEVELS):
-        above = level.select(F.col("key").alias("parent_key"), F.col("path").alias("__path"))
-        level = collections.join(above, "parent_key").select("key", F.concat_ws("/", "__path", "name").alias("path"), F.lit(i).alias("level"))
-        found = found.union(level)
-    return found
+    found = level = roots.select("key", F.col("name").alias("path"), F.lit(0).alias("level"))
+    depth = 0
+    while True:
+        for _ in range(STORED_LEVELS):
+            depth += 1
+            above = level.select(F.col("key").alias("parent_key"), F.col("path").alias("__path"))
+            level = collections.join(above, "parent_key").select("key", F.concat_ws("/", "__path", "name").alias("path"), F.lit(depth).alias("level"))
+            found = found.union(level)
+        found = stored(found)
+        level = found.where(F.col("level") == depth)
+        if level.isEmpty():
+            break
+    lost = collections.join(found.select("key"), "key", "left_anti")
+    return found.unionByName(lost.select("key", F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("level")))
+
+
+def collection_items(links: DataFrame, items: DataFrame, authors: DataFrame, collection: object, n: int | None = None) -> DataFrame:
+    """item_key, title, authors, year of a collection's items (links: collection_key, item_key), by key; n at most if given.
+
+    authors (item_key, author): the first three by name, then et al.
+    """
+    own = links.where(F.col("collection_key") == collection).select("item_key").distinct()
+    names = F.array_sort(F.collect_set("author"))
+    listed = authors.join(own, "item_key", "left_semi").groupBy("item_key").agg(names.alias("names"))
+    few = F.concat(F.array_join(F.slice("names", 1, 3), ", "), F.when(F.size("names") > 3, F.lit(" et al.")).otherwise(F.lit("")))
+    found = items.join(own, "item_key", "left_semi").join(listed.select("item_key", few.alias("authors")), "item_key", "left")
+    found = found.select("item_key", "title", F.coalesce("authors", F.lit("")).alias("authors"), F.substring("date", 1, 4).alias("year"))
+    return found.orderBy("item_key").limit(n) if n is not None else found
+
+
+def retagged(tags: DataFrame, chosen: DataFrame, add: list[str], remove: list[str]) -> DataFrame:
+    """tags (item_key, tag) after removing and then adding tags of the chosen items (item_key), in any case."""
+    low = F.lower("tag")
+    kept = tags.join(tags.where(low.isin([t.lower() for t in remove])).join(chosen, "item_key", "left_semi"), ["item_key", "tag"], "left_anti")
+    new = chosen.select("item_key").distinct().withColumn("tag", F.explode(F.array(*[F.lit(t) for t in add]).cast("array<string>")))
+    has = kept.select("item_key", low.alias("__low")).distinct()
+    return kept.unionByName(new.join(has, (new["item_key"] == has["item_key"]) & (F.lower(new["tag"]) == has["__low"]), "left_anti"))
+
+
+def retag_counts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """action, tag, n: items to which a tag was added and from which it was removed."""
+    one = lambda name, x, y: x.join(y, ["item_key", "tag"], "left_anti").groupBy("tag").agg(F.countDistinct("item_key").alias("n")).select(F.lit(name).alias("action"), "tag", "n")
+    return one("added", after, before).unionByName(one("removed", before, after))
+
+
+def chunks_of(chunks: DataFrame, key: object) -> DataFrame:
+    """Chunks of one paper: those that carry its key as their own or as their parent's."""
+    return chunks.where((F.col("item_key") == key) | (F.col("parent_item_key") == key))
+
+
+def text_keys(chunks: DataFrame) -> DataFrame:
+    """item_key of papers with full text, in order: the parents of chunks that have it."""
+    return chunks.where("has_fulltext").select(F.coalesce("parent_item_key", "item_key").alias("item_key")).distinct().orderBy("item_key")
+
+
+def index_status(vectors: DataFrame) -> DataFrame:
+    """One row: n rows of an index, dims of its vectors (the least and the greatest number of values)."""
+    return vectors.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("vector")).alias("least_dims"), F.max(F.size("vector")).alias("most_dims"))
 
 
 def collection_match(collections: DataFrame, text: str) -> DataFrame:

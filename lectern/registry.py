@@ -394,11 +394,16 @@ def query_intent(c: Catalog) -> DataFrame:
 
 @query(
     "query_decompose",
-    r"""WITH p AS (SELECT item_id, trim(text) AS w FROM benchmark), q AS (SELECT item_id, w, list_filter(list_transform(regexp_split_to_array(w, '(?i)\s+(?:and|with|plus)\s+'), lambda x: trim(x)), lambda x: x <> '') AS a,
-list_filter(list_transform(regexp_split_to_array(w, '(?i)\s+or\s+'), lambda x: trim(x)), lambda x: x <> '') AS o FROM p)
-SELECT item_id, i::INT AS part, list_extract(CASE WHEN len(a) > 1 THEN a WHEN len(o) > 1 THEN o ELSE [w] END, i + 1) AS text, CASE WHEN len(a) > 1 THEN 'required' WHEN len(o) > 1 THEN 'optional' ELSE 'simple' END AS kind,
-CASE WHEN len(a) > 1 THEN 1.0::DOUBLE WHEN len(o) > 1 THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END AS importance
-FROM (SELECT *, unnest(range(0, CASE WHEN len(a) > 1 THEN len(a) WHEN len(o) > 1 THEN len(o) ELSE 1 END)) AS i FROM q)""",
+    r"""WITH p AS (SELECT item_id, trim(text) AS w FROM benchmark), q AS (SELECT item_id, w, regexp_split_to_array(w, '(?i)\s+(?:and|with|plus)\s+') AS a, regexp_split_to_array(w, '(?i)\s+or\s+') AS o, string_split(w, ',') AS c,
+  CASE WHEN regexp_matches(w, '(?i)\s+(about|in|on|for|of|using|through)\s+') THEN regexp_extract(w, '(?is)^(.*?)\s+(?:about|in|on|for|of|using|through)\s+(.*)$', ['l', 'r']) END AS s,
+  regexp_extract_all(w, '\b[A-Z][A-Za-z0-9_-]*(?:\s+[A-Z][A-Za-z0-9_-]*)*') AS h FROM p),
+k AS (SELECT item_id, w, [{'t': w, 'k': 'full', 'i': 1.0::DOUBLE}] AS one, s, len(h) AS n, list_transform(list_filter(list_transform(a, lambda x: trim(x)), lambda x: x <> ''), lambda x: {'t': x, 'k': 'required', 'i': 1.0::DOUBLE}) AS a,
+  list_transform(list_filter(list_transform(o, lambda x: trim(x)), lambda x: x <> ''), lambda x: {'t': x, 'k': 'optional', 'i': 0.7::DOUBLE}) AS o,
+  list_transform(list_filter(list_transform(c, lambda x: trim(x)), lambda x: x <> ''), lambda x: {'t': x, 'k': 'support', 'i': 0.5::DOUBLE}) AS c,
+  list_transform(list_filter([trim(s.l), trim(s.r)], lambda x: x <> ''), lambda x: {'t': x, 'k': 'support', 'i': 0.6::DOUBLE}) AS d,
+  list_transform(list_slice(list_filter(h, lambda x: contains(x, ' ')), 1, 3), lambda x: {'t': x, 'k': 'phrase', 'i': 0.4::DOUBLE}) AS h FROM q),
+f AS (SELECT item_id, CASE WHEN len(a) > 1 THEN a WHEN len(o) > 1 THEN o WHEN s IS NOT NULL THEN list_concat(one, d) WHEN len(c) > 1 THEN list_concat(one, c) WHEN n > 1 THEN list_concat(one, h) ELSE [{'t': w, 'k': 'simple', 'i': 1.0::DOUBLE}] END AS l FROM k)
+SELECT item_id, i::INT AS part, l[i + 1].t AS text, l[i + 1].k AS kind, l[i + 1].i AS importance FROM (SELECT *, unnest(range(0, len(l))) AS i FROM f)""",
 )
 def query_decompose(c: Catalog) -> DataFrame:
     parts = c.table("benchmark").select("item_id", F.posexplode(ask.decompose_column(F.col("text"))).alias("part", "p"))
@@ -416,14 +421,14 @@ def query_expand(c: Catalog) -> DataFrame:
 
 # Indexing
 
-PREPRINTS = "i AS (SELECT doc_id AS item_key, CASE WHEN doc_id % 3 = 0 THEN 'preprint' ELSE 'journalArticle' END AS item_type, CASE WHEN doc_id % 7 = 0 THEN 'DOI ' || n_chars END AS doi, substring(split_part(text, chr(10), 1), 1, 80) AS title FROM documents)"
+PREPRINTS = "i AS (SELECT doc_id AS item_key, CASE WHEN doc_id % 3 = 0 THEN 'preprint' ELSE 'journalArticle' END AS item_type, CASE WHEN doc_id % 7 = 0 THEN 'DOI ' || n_chars END AS doi, split_part(text, chr(10), 1) AS title FROM documents)"
 
 
 @query("preprint_dedup", rf"WITH {PREPRINTS}, k AS (SELECT *, regexp_replace(lower(doi), '\s+', '', 'g') AS d, regexp_replace(lower(title), '\s+', '', 'g') AS t FROM i) SELECT item_key, item_type FROM k WHERE item_type <> 'preprint' OR ((d IS NULL OR d = '' OR d NOT IN (SELECT d FROM k WHERE item_type = 'journalArticle' AND d IS NOT NULL)) AND (t IS NULL OR t = '' OR t NOT IN (SELECT t FROM k WHERE item_type = 'journalArticle' AND t IS NOT NULL)))")
 def preprint_dedup(c: Catalog) -> DataFrame:
     items = c.table("documents").select(
         F.col("doc_id").alias("item_key"), F.when(F.col("doc_id") % 3 == 0, "preprint").otherwise("journalArticle").alias("item_type"),
-        F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("DOI "), "n_chars")).alias("doi"), F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"),
+        F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("DOI "), "n_chars")).alias("doi"), F.substring_index("text", "\n", 1).alias("title"),
     )
     return indexing.without_published_preprints(items).select("item_key", "item_type")
 
@@ -486,7 +491,7 @@ def collection_tree(c: Catalog) -> DataFrame:
     return library.collection_tree(rows)
 
 
-ITEMS = "it AS (SELECT doc_id AS item_key, lang AS item_type, substring(split_part(text, chr(10), 1), 1, 80) AS title, source AS publication, text AS body, strftime(o_orderdate, '%Y-%m-%d') AS date, c_name AS author FROM documents LEFT JOIN orders ON doc_id = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey)"
+ITEMS = "it AS (SELECT doc_id AS item_key, lang AS item_type, split_part(text, chr(10), 1) AS title, source AS publication, text AS body, strftime(o_orderdate, '%Y-%m-%d') AS date, c_name AS author FROM documents LEFT JOIN orders ON doc_id = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey)"
 
 
 @query("recent_items", f"WITH {ITEMS} SELECT item_key, date, author FROM it WHERE date IS NOT NULL ORDER BY date DESC, item_key LIMIT 100")
@@ -564,11 +569,21 @@ def stream_upsert(c: Catalog) -> DataFrame:
     return ingest.upserted_events(c.spark, c.path)
 
 
-@query("graphml_lines", "WITH n AS (SELECT s_suppkey AS node, s_name AS name FROM supplier), e AS (SELECT DISTINCT l_orderkey AS src, l_suppkey AS dst FROM lineitem) SELECT '<node id=\"' || node || '\"><data key=\"label\">Person</data><data key=\"name\">' || name || '</data></node>' AS value, 1 AS part FROM n")
+@query(
+    "graphml_lines",
+    f"""WITH n AS (SELECT s_suppkey AS node, s_name AS name FROM supplier), {PEOPLE}
+SELECT '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">' || chr(10) || '<key id="label" for="node" attr.name="label" attr.type="string"/>' || chr(10)
+  || '<key id="name" for="node" attr.name="name" attr.type="string"/>' || chr(10) || '<key id="rel" for="edge" attr.name="rel" attr.type="string"/>' || chr(10) || '<graph edgedefault="directed">' AS value, 0 AS part
+UNION ALL SELECT '<node id="' || node || '"><data key="label">Person</data><data key="name">' || name || '</data></node>', 1 FROM n
+UNION ALL SELECT '<edge source="' || a.node || '" target="' || b.node || '"><data key="rel">SHARED_PAPER</data></edge>', 2 FROM (SELECT DISTINCT x.dst AS a, y.dst AS b FROM e x JOIN e y USING (src) WHERE x.dst < y.dst) JOIN n a ON a = a.node JOIN n b ON b = b.node
+UNION ALL SELECT '</graph>' || chr(10) || '</graphml>', 3""",
+)
 def graphml_lines(c: Catalog) -> DataFrame:
+    """The whole document: people, and an edge between two who wrote a paper together."""
     nodes = c.table("supplier").select(F.col("s_suppkey").alias("node"), F.lit("Person").alias("label"), F.col("s_name").alias("name"))
-    edges = c.edges("AUTHORED_BY").select("src", "dst", F.lit("AUTHORED_BY").alias("rel"))
-    return export.graphml(nodes, edges).where("part = 1")
+    wrote = c.edges("AUTHORED_BY")
+    pairs = wrote.join(wrote.withColumnRenamed("dst", "other"), "src").where("dst < other").select(F.col("dst").alias("src"), F.col("other").alias("dst")).distinct()
+    return export.graphml(nodes, pairs.withColumn("rel", F.lit("SHARED_PAPER")))
 
 
 @query("section_chunks", r"SELECT doc_id AS item_key, i::INT AS chunk_id, array_to_string(list_slice(w, i * 200 + 1, i * 200 + 200), ' ') AS chunk FROM (SELECT doc_id, w, unnest(range(0, ((len(w) + 199) // 200)::BIGINT)) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r\x0B\f]+'), lambda x: x <> '') AS w FROM documents))")
@@ -576,7 +591,11 @@ def section_chunks(c: Catalog) -> DataFrame:
     return c.table("documents").select(F.col("doc_id").alias("item_key"), F.posexplode(t.token_windows(F.col("text"), 200)).alias("chunk_id", "chunk"))
 
 
-@query("point_ids")
+@query(
+    "point_ids",
+    f"""WITH {CHUNKS}, h AS (SELECT item_key, chunk_id::INT AS chunk_id, sha1(unhex('{DNS.replace('-', '')}') || encode('lectern.' || item_key || '_chunk_' || chunk_id)) AS d FROM ch)
+SELECT item_key, chunk_id, d[1:8] || '-' || d[9:12] || '-5' || d[14:16] || '-' || substr('89ab89ab89ab89ab', instr('0123456789abcdef', d[17:17]), 1) || d[18:20] || '-' || d[21:32] AS point_id FROM h""",
+)
 def point_ids(c: Catalog) -> DataFrame:
     """A name-based UUID per chunk, by which an index is overwritten."""
     name = F.concat(F.lit("lectern."), "item_key", F.lit("_chunk_"), "chunk_id")

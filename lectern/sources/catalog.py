@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from lectern.functions.text import slices, stripped_html
 
 
+def source_of(fulltext: bool, local: bool) -> str:
+    """Which source items come from: the local database if full text is wanted and it is at hand, else the paged API."""
+    return "database" if fulltext and local else "api"
+
+
 @dataclass(frozen=True)
 class Catalog:
     """A folder of Parquet tables as a library: documents are items, orders papers, suppliers people, parts concepts."""
@@ -25,7 +30,7 @@ class Catalog:
         orders = self.table("orders").select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
         people = self.table("customer").select("c_custkey", F.col("c_name").alias("author"))
         docs = self.table("documents").select(
-            F.col("doc_id").alias("item_key"), F.col("lang").alias("item_type"), F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"),
+            F.col("doc_id").alias("item_key"), F.col("lang").alias("item_type"), F.substring_index("text", "\n", 1).alias("title"),
             F.col("source").alias("publication"), F.col("text").alias("body"),
         )
         dated = docs.join(orders, docs["item_key"] == orders["o_orderkey"], "left").join(people, F.col("o_custkey") == F.col("c_custkey"), "left")

@@ -15,9 +15,11 @@ def _own_folder() -> str:
 
 
 def folder(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir; where that is unset (local tests), under a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    return f"{root.rstrip('/')}/lectern-{uuid.uuid4().hex}"
+    """A new path under spark.checkpoint.dir. Where that is unset, a local master uses a temporary folder, and a cluster is refused: its executors share none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(root or _own_folder()).rstrip('/')}/lectern-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
