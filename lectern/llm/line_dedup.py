@@ -162,8 +162,8 @@ def _stars(members: DataFrame, texts: DataFrame, sets) -> DataFrame:
     return both.where(near).select("a", "b")
 
 
-def similar_links(members: DataFrame, texts: DataFrame, sets=shingles) -> DataFrame:
-    """Links a, b whose groups are those of all similar pairs among the lines that share a key; stored.
+def similar_groups(members: DataFrame, texts: DataFrame, sets=shingles) -> DataFrame:
+    """node, component of the lines that similar pairs which share a key join; stored, lines without a similar one left out.
 
     members: sharing(); texts: line, norm of which sets(norm) is the array of distinct hashes that is compared.
     Each line is first compared with the least line of each of its keys, which settles most keys: all copies
@@ -177,11 +177,11 @@ def similar_links(members: DataFrame, texts: DataFrame, sets=shingles) -> DataFr
     others = grouped.where("line <> least").groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("n"))
     undecided = stored(others.where("lo <> hi").select("key", "n"))
     if undecided.isEmpty():
-        return links
+        return groups
     held = grouped.where("line <> least").join(small(undecided, undecided.count(), 16), "key").select("key", "n", "line", "group")
     keys = held.groupBy("line").agg(F.sort_array(F.collect_set("key")).alias("keys"))
     held = held.join(stored(keys.join(texts, "line")), "line")
-    return stored(links.union(_small_links(held, sets)).union(_tiled_links(held, sets)))
+    return components(stored(links.union(_small_links(held, sets)).union(_tiled_links(held, sets))))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -202,8 +202,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = _rows(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), "__r1", "__r2", F.col(text_col).alias("__text"))
 
     def lines_of(some: DataFrame) -> DataFrame:
-        found = some.select("doc_id", "__r1", "__r2", F.posexplode(F.split("__text", "\n")).alias("line_no", "__line"))
-        return found.withColumn("norm", comparable(F.col("__line"))).where("norm <> ''").drop("__line")
+        # lines become comparable inside the array: a column of their own would be computed again by the filter
+        made = F.posexplode(F.transform(F.split("__text", "\n"), comparable)).alias("line_no", "norm")
+        return some.select("doc_id", "__r1", "__r2", made).where("norm <> ''")
 
     lines, levels = lines_of(rows), rarity(lines_of(rows.where(F.pmod("__r1", F.lit(SAMPLED)) == 0)), "norm")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__r1", "__r2", "line_no").alias("place")
@@ -218,7 +219,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = found.select(F.split("__text", "\n").alias("__lines"), F.explode("at").alias("at"))
     texts = stored(found.select("at.line", comparable(F.get("__lines", F.col("at.line_no"))).alias("norm")).dropDuplicates(["line"]))
 
-    groups = components(similar_links(members, texts))
+    groups = similar_groups(members, texts)
     joined = distinct.join(groups, distinct["line"] == groups["node"], "left").select("line", "check", "first", "n", "component")
     joined = stored(joined.where("component IS NOT NULL OR n > 1"))
     firsts = joined.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("kept"))
