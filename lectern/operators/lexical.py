@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import terms
+from lectern.storage import kept
 
 FEATURES = 10_000
 
@@ -30,21 +33,43 @@ def weights(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(vocab.select("term", "idf")), "term").select("id", "term", F.round(F.col("tf") * F.col("idf"), 6).alias("weight"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """Stored tables of a corpus: postings (id, term, tf) in order of term, so that a scan reads a request's terms only; lengths (id, dl); vocabulary()."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    vocabulary: DataFrame
+
+
+def indexed(docs: DataFrame, id_col: str, text_col: str, name: str) -> Index:
+    """The index of docs, built by the first request of an application and kept under name, which tells the corpus."""
+    spark = docs.sparkSession
+    counts = kept(spark, f"postings of {name}", lambda: postings(docs, id_col, text_col).repartitionByRange("term").sortWithinPartitions("term"))
+    lengths = kept(spark, f"lengths of {name}", lambda: counts.groupBy("id").agg(F.sum("tf").alias("dl")))
+    vocab = kept(spark, f"vocabulary of {name}", lambda: vocabulary(counts, docs.agg(F.count(F.lit(1)).alias("n"))))
+    return Index(counts, lengths, vocab)
+
+
+def _held(counts: DataFrame, asked: DataFrame) -> DataFrame:
+    """The postings of asked's terms, a request's few, by a filter that reaches the scan."""
+    return counts.where(F.col("term").isin([r.term for r in asked.select("term").collect()]))
+
+
 def sparse_search(counts: DataFrame, vocab: DataFrame, query: DataFrame, n: int) -> DataFrame:
     """id, score, rank: rows with the largest dot product with the query's (one row, column text) sparse vector."""
     asked = query.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("qtf"))
-    asked = asked.join(vocab.select("term", "idf"), "term")
-    hits = counts.join(F.broadcast(asked), "term")
+    hits = _held(counts, asked).join(F.broadcast(asked.join(vocab.select("term", "idf"), "term")), "term")
     scores = hits.groupBy("id").agg(F.round(F.sum(F.col("tf") * F.col("idf") * F.col("qtf") * F.col("idf")), 4).alias("score"))
     return ranked(scores, "score", n)
 
 
-def bm25_search(counts: DataFrame, query: DataFrame, n: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """id, score, rank by Okapi BM25 over the distinct query terms; every row with a term counts in the lengths."""
-    lengths = counts.groupBy("id").agg(F.sum("tf").alias("dl"))
+def bm25_search(counts: DataFrame, query: DataFrame, n: int, k1: float = 1.2, b: float = 0.75, lengths: DataFrame | None = None) -> DataFrame:
+    """id, score, rank by Okapi BM25 over the distinct query terms; every row with a term counts in the lengths (id, dl), summed up unless given."""
+    lengths = counts.groupBy("id").agg(F.sum("tf").alias("dl")) if lengths is None else lengths
     whole = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    asked = F.broadcast(query.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")))
-    hits = counts.join(asked, "term")
+    asked = query.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    hits = _held(counts, asked)
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     found = hits.join(F.broadcast(df), "term").join(lengths, "id").crossJoin(F.broadcast(whole))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -35,12 +35,11 @@ class Search:
             rows = c.vectors()
             found = vector.nearest(rows, rows.where(F.col("id") == seed), n).select("id", F.col("similarity").alias("score"), "rank")
         elif name in ("semantic", "entity"):
-            counts = lexical.postings(c.table("documents"), "doc_id", "text")
-            vocab = lexical.vocabulary(counts, c.table("documents").agg(F.count(F.lit(1)).alias("n")))
-            found = lexical.sparse_search(counts, vocab, spark.createDataFrame([(text,)], "text string"), n)
+            index = c.lexical_index()
+            found = lexical.sparse_search(index.postings, index.vocabulary, spark.createDataFrame([(text,)], "text string"), n)
         elif name == "graph":
-            counts = lexical.postings(c.table("part"), "p_partkey", "p_name")
-            named = lexical.bm25_search(counts, spark.createDataFrame([(text,)], "text string"), n).select(F.col("id").alias("dst"), "score")
+            index = c.lexical_index("part", "p_partkey", "p_name")
+            named = lexical.bm25_search(index.postings, spark.createDataFrame([(text,)], "text string"), n, lengths=index.lengths).select(F.col("id").alias("dst"), "score")
             papers = c.edges("DISCUSSES_CONCEPT").join(F.broadcast(named), "dst").groupBy(F.col("src").alias("id"))
             found = lexical.ranked(papers.agg(F.round(F.sum("score"), 4).alias("score")), "score", n)
         else:

@@ -16,6 +16,7 @@ from lectern.plans.search import Search
 from lectern.session import ship
 from lectern.sources import export
 from lectern.sources.catalog import Catalog
+from lectern.storage import kept
 from lectern.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,8 +102,8 @@ def _asked(c: Catalog) -> DataFrame:
 
 
 def _sparse(c: Catalog, n: int) -> DataFrame:
-    counts = _postings(c)
-    return lexical.sparse_search(counts, _vocabulary(c, counts), _asked(c), n)
+    index = c.lexical_index()
+    return lexical.sparse_search(index.postings, index.vocabulary, _asked(c), n)
 
 
 @query("tfidf_vocab", f"WITH {POSTINGS} SELECT term, df, cf, idf FROM voc")
@@ -129,7 +130,8 @@ s AS (SELECT id, round(sum(ln(1 + (m - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf
       FROM h JOIN d USING (term) JOIN dl USING (id), w GROUP BY id) {_ranked('s', TOP)}""",
 )
 def bm25_search(c: Catalog) -> DataFrame:
-    return lexical.bm25_search(_postings(c), _asked(c), TOP)
+    index = c.lexical_index()
+    return lexical.bm25_search(index.postings, _asked(c), TOP, lengths=index.lengths)
 
 
 # Fusion: the dense list of vector 0 and the sparse list of the first benchmark item share numbers as ids
@@ -608,7 +610,7 @@ def semantic_chunks(c: Catalog) -> DataFrame:
     ship(c.spark)
     asked = _asked(c).first()[0]
     chunks = c.chunks().select(F.concat_ws("_chunk_", "item_key", "chunk_id").alias("id"), F.col("chunk").alias("text"))
-    vectors = chunks.withColumn("vector", models.embedded(F.col("text")))
+    vectors = kept(c.spark, f"chunk vectors of {c.path}", lambda: chunks.withColumn("vector", models.embedded(F.col("text"))))
     query_row = c.spark.createDataFrame([("request", asked)], "id string, text string").withColumn("vector", models.embedded(F.col("text")))
     found = vector.nearest(vectors, query_row, TOP).select("id", "similarity", "rank")
     ranked = models.reranked(found.join(chunks, "id"), asked)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import slices, stripped_html
+from lectern.operators import lexical
 
 
 def source_of(fulltext: bool, local: bool) -> str:
@@ -40,6 +41,9 @@ class Catalog:
         """item_key, chunk_id, chunk: documents in slices of width characters."""
         return self.table("documents").select(F.col("doc_id").alias("item_key"), F.posexplode(slices(F.col("text"), width)).alias("chunk_id", "chunk"))
 
+    def lexical_index(self, table: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> lexical.Index:
+        return lexical.indexed(self.table(table), id_col, text_col, f"{table} of {self.path}")
+
     def vectors(self) -> DataFrame:
         return self.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,24 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[tuple[str, str], str] = {}
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def kept(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table `name` of this application, made and stored by the first who asks; name must tell its input and its form."""
+    key = spark.sparkContext.applicationId, name
+    if key not in _kept or not _exists(spark, _kept[key]):
+        path = folder(spark)
+        make().write.parquet(path)
+        _kept[key] = path
+    return spark.read.parquet(_kept[key])
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a stored() table that nothing reads any more."""
     spark = df.sparkSession
