@@ -184,14 +184,14 @@ def similar_groups(members: DataFrame, texts: DataFrame, sets=shingles) -> DataF
     return components(stored(links.union(_small_links(held, sets)).union(_tiled_links(held, sets))))
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def with_row_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with __r1 and __r2, 128 bits that tell rows apart by id and whole text."""
     key = [F.col(id_col).cast("long"), F.col(text_col)]
     return docs.withColumn("__r1", F.xxhash64(*key)).withColumn("__r2", F.xxhash64(*key[::-1]))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """__r1, __r2 (see _rows()), line_no (from 0) of every line that repeats an earlier one, exactly or by SIMILARITY; stored.
+    """__r1, __r2 (see with_row_hashes()), line_no (from 0) of every line that repeats an earlier one, exactly or by SIMILARITY; stored.
 
     Lines are split at \\n and compared as comparable(); blank ones are no lines. Equal lines, then lines linked by
     similarity, form groups (connected components); the first line of a group by doc_id, row hash and line_no stays and
@@ -199,7 +199,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     have the same ones. Texts are never shuffled for candidates: keys of 64 bits are. Null texts have no lines.
     Hot lines are one row after the first aggregate, and no task holds a key's lines.
     """
-    rows = _rows(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), "__r1", "__r2", F.col(text_col).alias("__text"))
+    rows = with_row_hashes(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), "__r1", "__r2", F.col(text_col).alias("__text"))
 
     def lines_of(some: DataFrame) -> DataFrame:
         # lines become comparable inside the array: a column of their own would be computed again by the filter
@@ -228,7 +228,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return stored(again.where(F.col("place") != F.col("kept")).select("place.__r1", "place.__r2", "place.line_no").distinct())
 
 
-def _copies(rows: DataFrame) -> DataFrame:
+def with_copies(rows: DataFrame) -> DataFrame:
     """rows with __copy: whether an equal one (by __r1 and __r2) comes before; rows that have equals are stored to be told apart."""
     several = stored(rows.groupBy("__r1", "__r2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__r1", "__r2"))
     if several.isEmpty():
@@ -248,7 +248,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     gone = repeated_lines(docs, id_col, text_col)
     removed = gone.groupBy("__r1", "__r2").agg(F.collect_list("line_no").alias("__gone"))
-    found = _copies(_rows(docs, id_col, text_col)).join(small(removed, gone.count(), 32), ["__r1", "__r2"], "left")
+    found = with_copies(with_row_hashes(docs, id_col, text_col)).join(small(removed, gone.count(), 32), ["__r1", "__r2"], "left")
     lines = F.split(text_col, "\n")
     inked = F.when(F.col("__copy"), F.filter(F.transform(lines, lambda x, i: F.when(comparable(x) != "", i)), lambda i: i.isNotNull()))
     found = found.withColumn("__gone", F.when(F.size(inked) > 0, inked).otherwise(F.col("__gone")))
