@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.components import components
-from lectern.llm.scratch import small, stored
+from lectern.llm.scratch import joined, small, stored
 
 #: Characters of a shingle, and the Jaccard similarity of two lines' shingle sets from which they are one.
 SHINGLE, SIMILARITY = 7, 0.8
@@ -220,11 +220,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = stored(found.select("at.line", comparable(F.get("__lines", F.col("at.line_no"))).alias("norm")).dropDuplicates(["line"]))
 
     groups = similar_groups(members, texts)
-    joined = distinct.join(groups, distinct["line"] == groups["node"], "left").select("line", "check", "first", "n", "component")
-    joined = stored(joined.where("component IS NOT NULL OR n > 1"))
-    firsts = joined.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("kept"))
-    kept = joined.join(stored(firsts), "component", "left").select("line", "check", F.coalesce("kept", "first").alias("kept"))
-    again = seen.select("place", "line", "check").join(stored(kept), ["line", "check"])
+    grouped = distinct.join(groups, distinct["line"] == groups["node"], "left").select("line", "check", "first", "n", "component")
+    grouped = stored(grouped.where("component IS NOT NULL OR n > 1"))
+    firsts = grouped.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("kept"))
+    kept = grouped.join(stored(firsts), "component", "left").select("line", "check", "n", F.coalesce("kept", "first").alias("kept"))
+    again = joined(seen.select("place", "line", "check"), stored(kept), ["line", "check"])
     return stored(again.where(F.col("place") != F.col("kept")).select("place.__r1", "place.__r2", "place.line_no").distinct())
 
 

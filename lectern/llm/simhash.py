@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.components import components
-from lectern.llm.scratch import stored
+from lectern.llm.scratch import joined, stored
 
 BITS, DISTANCE, WORDS, SEED = 64, 4, 4, 42
 #: Shingles counted together.
@@ -127,11 +127,11 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, words: int = WORD
     other rows, null if there are none. Extra columns are left out; an empty table gives an empty one.
     """
     prints = stored(fingerprints(docs, words, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "fp"))
-    distinct = stored(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id")).select("id", "fp"))
+    distinct = stored(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")).select("id", "fp", "n"))
     # two fingerprints may share a least id where ids repeat: links then join the id to itself, the groups hold
-    groups = components(linked(distinct, distance))
-    named = distinct.join(groups, distinct["id"] == groups["node"], "left").select(F.col("fp").alias("__fp"), F.coalesce("component", "id").alias("component_id"))
-    found = prints.join(stored(named), F.col("fp") == F.col("__fp"), "left")
+    groups = components(linked(distinct.select("id", "fp"), distance))
+    named = distinct.join(groups, distinct["id"] == groups["node"], "left").select("fp", "n", F.coalesce("component", "id").alias("component_id"))
+    found = joined(prints, stored(named), ["fp"], "left")
     return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 

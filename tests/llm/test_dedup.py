@@ -184,3 +184,15 @@ def test_rows_that_share_an_id(spark):
     left = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
     assert left == sorted(lines_left(rows), key=repr)
     assert (1, "a unique line nobody else has\nand one more of them") in left and (2, "") in left
+
+
+def test_hot_keys_are_sent_to_their_rows(spark, monkeypatch):
+    """With every key hot, and with none, the results are the same."""
+    from lectern.llm import scratch
+
+    rows = [(i, t) for i, t in enumerate(["", "", None, "a b c d e", "a b c d e", "x y z w v", "the same line\nthe same line", "the same line"])] + [(None, "a b c d e"), (None, "only here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (0, 1, 100):
+        monkeypatch.setattr(scratch, "HOT_ROWS", limit)
+        assert sorted(map(tuple, simhash.near_duplicates(df).collect()), key=repr) == expected_components(rows)
+        assert sorted(((r.doc_id, r.text) for r in line_dedup.deduplicated(df).collect()), key=repr) == sorted(lines_left(rows), key=repr)
