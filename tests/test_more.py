@@ -75,3 +75,23 @@ def test_shared_folder_is_needed_on_a_cluster(spark):
 
     with pytest.raises(ValueError):
         folder(Cluster())
+
+
+def test_stream_rewrites_touched_buckets_only(spark, tmp_path):
+    from lectern.streaming import ingest
+
+    rows, index = f"file://{tmp_path}/rows", f"file://{tmp_path}/index"
+    spark.createDataFrame([(k, 1, "first") for k in range(200)], "k long, t long, v string").coalesce(1).write.parquet(rows)
+    schema = spark.read.parquet(rows).schema
+
+    def run():
+        ingest.upsert_stream(ingest.stream(spark, rows, schema), index, "k", ["t"], f"{tmp_path}/state", 16).awaitTermination()
+        return ingest._versions(spark, index)
+
+    assert {b: len(v) for b, v in run().items()} == dict.fromkeys(range(16), 1)
+    spark.createDataFrame([(7, 2, "second"), (8, 0, "late")], "k long, t long, v string").coalesce(1).write.mode("append").parquet(rows)
+    assert sum(len(v) for v in run().values()) in (17, 18)
+    spark.createDataFrame([(7, 3, "third")], "k long, t long, v string").coalesce(1).write.mode("append").parquet(rows)
+    assert max(len(v) for v in run().values()) == 2
+    got = {r.k: r.v for r in ingest.latest(spark, index, schema).collect()}
+    assert len(got) == 200 and got[7] == "third" and got[8] == "first"
