@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
 GAPS = r"[\x20\x09-\x0D]+"
-#: White space for translate(), which replaces single characters.
 BLANKS = "\t\n\x0b\x0c\r "
-SYMBOLS = "#*$%&|<>"
+#: A character of a word, and one that counts as a symbol.
+INK, SYMBOL = r"[^\x20\x09-\x0D]", r"[#*$%&|<>]"
 #: A sentence end in any script (Latin, Arabic, Urdu, Devanagari, Ethiopic, Khmer, Burmese, Armenian, CJK), then closing quotes or brackets.
 SENTENCE_END = r"[.!?:;\x{2026}\x{037E}\x{0589}\x{061B}\x{061F}\x{06D4}\x{0964}\x{0965}\x{104A}\x{104B}\x{1362}\x{1367}\x{17D4}\x{203C}\x{203D}\x{3002}\x{FF01}\x{FF0E}\x{FF1A}\x{FF1B}\x{FF1F}\x{FF61}][\x22'\x{201D}\x{2019}\x{BB}\x{300D}\x{300F}\x{FF09})\]]*\z"
 #: Lines of at least so many words must end a sentence.
 PROSE_WORDS = 8
 #: Separators between the entries of a menu or breadcrumb line, of which a line has two.
-SEPARATORS = "|\xbb\u203a\u2022\xb7"
+SEPARATOR = r"[|\x{BB}\x{203A}\x{2022}\x{B7}]"
 #: Phrases of notices, in lower case.
 BOILERPLATE = (
     "all rights reserved", "javascript is", "javascript must be", "cookie policy", "cookies policy", "cookie settings", "cookies settings", "cookie notice", "cookies notice",
@@ -68,15 +68,17 @@ def line_fails(line: Column) -> Column:
 
     White space at the line's end, such as the CR of a CRLF text, is no part of it. Cheap rules come first.
     """
-    words = F.size(words_of(line))
-    noise = F.length(line) - F.length(F.translate(line, SYMBOLS, "")) + F.regexp_count(line, F.lit("!!+"))
+    noise = F.regexp_count(line, F.lit(rf"{SYMBOL}|!!+"))
     capitals = F.length(F.regexp_replace(line, r"\P{Lu}+", ""))
     letters = F.length(F.regexp_replace(line, r"\P{L}+", ""))
-    return (
-        (F.length(line) - F.length(F.translate(line, SEPARATORS, "")) >= 2)
-        | (noise > NOISE_PER_WORD * words)
+    by_words = lambda words: (
+        (noise > NOISE_PER_WORD * words)
         | ((words >= PROSE_WORDS) & ~F.rtrim(line, F.lit(BLANKS)).rlike(SENTENCE_END))
         | ((words >= 3) & (capitals > 0.7 * letters))
+    )
+    return (
+        (F.regexp_count(line, F.lit(SEPARATOR)) >= 2)
+        | _let(F.regexp_count(line, F.lit(rf"{INK}+")), by_words)
         | _let(F.lower(line), lambda low: reduce(or_, [F.contains(low, F.lit(p)) for p in BOILERPLATE]))
     )
 
@@ -91,14 +93,14 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     rows = rows.withColumn("__words", words_of(F.col("__text"))).withColumn("__lines", F.split("__text", "\n"))
-    inked = lambda c: F.length(F.translate(c, BLANKS, ""))
-    good = F.filter("__lines", lambda line: (inked(line) == 0) | ~line_fails(line))
-    inked_lines = F.filter("__lines", lambda line: inked(line) > 0)
+    inked = lambda c: F.length(F.regexp_replace(c, GAPS, ""))
+    good = F.filter("__lines", lambda line: ~line.rlike(INK) | ~line_fails(line))
+    inked_lines = F.filter("__lines", lambda line: line.rlike(INK))
     rows = rows.select(
         "doc_id",
         F.size("__words").cast("long").alias("n_words"),
         inked(F.col("__text")).cast("long").alias("word_chars"),
-        (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.regexp_count("__text", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         _let(inked_lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("__words")).cast("long").alias("n_repeat_words"),
         F.size("__lines").alias("__n_lines"),
