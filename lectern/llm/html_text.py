@@ -46,8 +46,8 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 #: Features of a block: its words and link density, those of the block before and of the one after, and marks.
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "marks")
-#: FEATURES as blocks() measures them, then whether the block is main text, by eye: first of the test data's pages, then
-#: of pages built from plain div elements, whose menus and footers carry no marks.
+#: FEATURES of a block, then whether it is main text. The first 26 rows are blocks of the test data's pages, measured by blocks() and
+#: labelled by eye; the others are typical values, set by hand, of layouts those pages lack: plain div elements without marks, comments, sidebars.
 LABELLED = (
     (13, 0.0, 6, 0.0, 68, 0.0, 0, 1), (6, 0.0, 8, 0.0, 13, 0.0, 0, 1), (68, 0.0, 13, 0.0, 92, 0.0, 0, 1), (8, 0.0, 26, 0.0, 11, 0.0, 0, 1),
     (1, 0.0, 61, 0.0, 1, 0.0, 0, 1), (1, 0.0, 1, 0.0, 48, 0.0, 0, 1), (48, 0.0, 1, 0.0, 24, 0.0, 0, 1), (4, 0.0, 34, 0.0, 15, 0.0, 0, 1),
