@@ -73,23 +73,26 @@ def in_degree(edges: DataFrame, papers: DataFrame, n: int, drop_zero: bool = Fal
 def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 10, damping: float = 0.85, reverse: bool = False, cut: int = 5) -> DataFrame:
     """id, score after so many rounds: cited papers gain; reverse rewards citing ones.
 
-    Every node starts with 1 / n and gets (1 - damping) / n a round; what nodes without edges hold is not dealt out. The
-    state is written to shared storage every `cut` rounds, so that plans and lineage stay short.
+    Every node starts with 1 / n and gets (1 - damping) / n a round; what nodes without edges hold is not dealt out. A
+    round reads the scores once and shuffles what is sent, summed before, with a zero for every node; links, dealt by source,
+    are shuffled once a plan. The state is written to shared storage every `cut` rounds, so that plans and lineage stay short.
     """
     links = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if reverse else edges
     degree = links.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    links = stored(links.join(degree, "src"))
-    base = nodes.select("id").crossJoin(F.broadcast(nodes.agg(F.count(F.lit(1)).alias("n"))))
-    now, before = stored(base.select("id", "n", (1 / F.col("n")).alias("score"))), None
+    ids = nodes.select("id")
+    links = stored(links.join(degree, "src").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "degree"))
+    n = max(1, ids.count())
+    now, before = ids.select("id", F.lit(1 / n).alias("score")), None
     for i in range(1, rounds + 1):
-        sent = links.join(now.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
-        now = now.join(sent, "id", "left").select("id", "n", ((1 - damping) / F.col("n") + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
+        sent = links.join(now.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), (F.col("score") / F.col("degree")).alias("got"))
+        everyone = ids.select("id", F.lit(0.0).alias("got"))
+        now = sent.unionByName(everyone).groupBy("id").agg(((1 - damping) / n + damping * F.sum("got")).alias("score"))
         if i % cut == 0 and i < rounds:
             now = stored(now)
             if before is not None:
                 discard(before)
             before = now
-    return now.select("id", "score")
+    return now
 
 
 def yearly(edges: DataFrame, papers: DataFrame, concept: int, first: int, last: int) -> DataFrame:
