@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import audio, hard_negatives, html_text, langid, line_dedup, mixing, packing, quality, sharding, simhash, token_files
+from lectern.llm import audio, dialogue_repair, hard_negatives, html_text, langid, line_dedup, mixing, packing, quality, sharding, simhash, token_files
 from lectern.llm.scratch import stored
 from lectern.session import ship
 
@@ -62,6 +62,10 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"))
 
 
+def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue_repair.repaired_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
@@ -78,6 +82,7 @@ QUERIES = {
     "op8_main_text": op8_main_text,
     "op9_quality": op9_quality,
     "op10_mix": op10_mix,
+    "op12_dialogue_repair": op12_dialogue_repair,
     "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLE_SQL = {"op9_quality": quality.ORACLE_SQL, "op13_hard_negatives": hard_negatives.ORACLE_SQL}
+ORACLE_SQL = {"op9_quality": quality.ORACLE_SQL, "op12_dialogue_repair": dialogue_repair.ORACLE_SQL, "op13_hard_negatives": hard_negatives.ORACLE_SQL}
