@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators, each over its whole table."""
+"""The registered queries of the training-data operators, each over its whole table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import audio, dialogue_repair, hard_negatives, html_text, langid, line_dedup, mixing, packing, quality, sharding, simhash, token_files
+from lectern.llm import audio, dialogue_repair, hard_negatives, html_text, langid, line_dedup, mixing, packing, phrase_index, quality, sharding, simhash, token_files
 from lectern.llm.scratch import stored
 from lectern.session import ship
 
@@ -62,6 +62,10 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"))
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_index.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue_repair.repaired_conversations(_table(spark, sf_dir, "conversations"))
 
@@ -82,7 +86,8 @@ QUERIES = {
     "op8_main_text": op8_main_text,
     "op9_quality": op9_quality,
     "op10_mix": op10_mix,
+    "op11_decontaminate": op11_decontaminate,
     "op12_dialogue_repair": op12_dialogue_repair,
     "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLE_SQL = {"op9_quality": quality.ORACLE_SQL, "op12_dialogue_repair": dialogue_repair.ORACLE_SQL, "op13_hard_negatives": hard_negatives.ORACLE_SQL}
+ORACLE_SQL = {"op9_quality": quality.ORACLE_SQL, "op11_decontaminate": phrase_index.ORACLE_SQL, "op12_dialogue_repair": dialogue_repair.ORACLE_SQL, "op13_hard_negatives": hard_negatives.ORACLE_SQL}
