@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import terms
-from lectern.storage import kept
+from lectern.storage import small, stored
 
 FEATURES = 10_000
 
@@ -42,15 +42,6 @@ class Index:
     vocabulary: DataFrame
 
 
-def indexed(docs: DataFrame, id_col: str, text_col: str, name: str) -> Index:
-    """The index of docs, built by the first request of an application and kept under name, which tells the corpus."""
-    spark = docs.sparkSession
-    counts = kept(spark, f"postings of {name}", lambda: postings(docs, id_col, text_col).repartitionByRange("term").sortWithinPartitions("term"))
-    lengths = kept(spark, f"lengths of {name}", lambda: counts.groupBy("id").agg(F.sum("tf").alias("dl")))
-    vocab = kept(spark, f"vocabulary of {name}", lambda: vocabulary(counts, docs.agg(F.count(F.lit(1)).alias("n"))))
-    return Index(counts, lengths, vocab)
-
-
 def _held(counts: DataFrame, asked: DataFrame) -> DataFrame:
     """The postings of asked's terms, a request's few, by a filter that reaches the scan."""
     return counts.where(F.col("term").isin([r.term for r in asked.select("term").collect()]))
@@ -77,9 +68,49 @@ def bm25_search(counts: DataFrame, query: DataFrame, n: int, k1: float = 1.2, b:
     return ranked(found.groupBy("id").agg(F.round(F.sum(part), 4).alias("score")), "score", n)
 
 
+#: Distinct terms of a table of requests up to which the postings are filtered by their names, so that a scan skips the rest.
+NAMED_TERMS = 1_000
+
+
+def asked_terms(requests: DataFrame) -> DataFrame:
+    """query, term, qtf of requests (query, text)."""
+    return requests.select("query", F.explode(terms(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def _met(counts: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked's rows (stored) with the postings of their terms."""
+    names = [r.term for r in asked.select("term").distinct().limit(NAMED_TERMS + 1).collect()]
+    rows = counts.where(F.col("term").isin(names)) if len(names) <= NAMED_TERMS else counts
+    return rows.join(small(asked, asked.count(), 128), "term")
+
+
+def ranked_by_query(scores: DataFrame, n: int) -> DataFrame:
+    """The n best rows of each query (query, id, score) with a rank from 1; ties go to the lower id. Spark limits each query before it shuffles."""
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    return scores.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n)
+
+
+def sparse_searches(counts: DataFrame, vocab: DataFrame, requests: DataFrame, n: int) -> DataFrame:
+    """query, id, score, rank: sparse_search() for a table of requests (query, text), in one plan."""
+    asked = stored(asked_terms(requests).join(F.broadcast(vocab.select("term", "idf")), "term"))
+    part = F.col("tf") * F.col("idf") * F.col("qtf") * F.col("idf")
+    return ranked_by_query(_met(counts, asked).groupBy("query", "id").agg(F.round(F.sum(part), 4).alias("score")), n)
+
+
+def bm25_searches(index: Index, requests: DataFrame, n: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query, id, score, rank: bm25_search() for a table of requests (query, text), in one plan."""
+    whole = index.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    asked = asked_terms(requests).drop("qtf")
+    distinct = stored(asked.select("term").distinct())
+    df = _met(index.postings, distinct).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    asked = stored(asked.join(df, "term"))
+    found = _met(index.postings, asked).join(index.lengths, "id").crossJoin(F.broadcast(whole))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    return ranked_by_query(found.groupBy("query", "id").agg(F.round(F.sum(part), 4).alias("score")), n)
+
+
 def ranked(scores: DataFrame, by: str, n: int) -> DataFrame:
     """The n rows of id and a score with the largest score and a rank from 1; ties go to the lower id."""
-    from pyspark.sql import Window
-
     top = scores.orderBy(F.desc(by), "id").limit(n)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(by), "id")).cast("long"))

@@ -16,7 +16,7 @@ from lectern.plans.search import Search
 from lectern.session import ship
 from lectern.sources import export
 from lectern.sources.catalog import Catalog
-from lectern.storage import kept
+from lectern.storage import kept, version
 from lectern.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -610,7 +610,7 @@ def semantic_chunks(c: Catalog) -> DataFrame:
     ship(c.spark)
     asked = _asked(c).first()[0]
     chunks = c.chunks().select(F.concat_ws("_chunk_", "item_key", "chunk_id").alias("id"), F.col("chunk").alias("text"))
-    vectors = kept(c.spark, f"chunk vectors of {c.path}", lambda: chunks.withColumn("vector", models.embedded(F.col("text"))))
+    vectors = kept(c.spark, f"chunk vectors of {c.path}", version(c.spark, f"{c.path}/documents.parquet"), lambda: chunks.withColumn("vector", models.embedded(F.col("text"))))
     query_row = c.spark.createDataFrame([("request", asked)], "id string, text string").withColumn("vector", models.embedded(F.col("text")))
     found = vector.nearest(vectors, query_row, TOP).select("id", "similarity", "rank")
     ranked = models.reranked(found.join(chunks, "id"), asked)

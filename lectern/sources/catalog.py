@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import slices, stripped_html
-from lectern.operators import lexical
+from lectern.operators import lexical, lexical_index, vector_index
+from lectern.storage import version
 
 
 def source_of(fulltext: bool, local: bool) -> str:
@@ -42,7 +43,12 @@ class Catalog:
         return self.table("documents").select(F.col("doc_id").alias("item_key"), F.posexplode(slices(F.col("text"), width)).alias("chunk_id", "chunk"))
 
     def lexical_index(self, table: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> lexical.Index:
-        return lexical.indexed(self.table(table), id_col, text_col, f"{table} of {self.path}")
+        """Postings, lengths and vocabulary of a table, brought up to its present files."""
+        return lexical_index.followed(self.spark, f"{self.path}/{table}.parquet", id_col, text_col)
+
+    def vector_index(self) -> vector_index.VectorIndex:
+        path = f"{self.path}/embeddings.parquet"
+        return vector_index.indexed(self.vectors(), path, version(self.spark, path))
 
     def vectors(self) -> DataFrame:
         return self.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
