@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ordered groups of patterns on the lower-cased request: intent, confidence, patterns. The first that matches wins.
@@ -179,6 +179,15 @@ def key_concepts(hits: DataFrame, text: str, stop: list[str], n: int = 10) -> Da
     return rows.groupBy("concept").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "concept").limit(n)
 
 
+def key_concepts_by_query(hits: DataFrame, text: str, n: int = 3) -> DataFrame:
+    """query, concepts: the n first of key_concepts() of each query's hits (query, text)."""
+    words = F.regexp_extract_all(F.col(text), F.lit(r"\p{Lu}[\p{L}]{3,}|[\p{Ll}]+-[\p{Ll}]+"), F.lit(0))
+    counts = hits.select("query", F.explode(words).alias("concept")).groupBy("query", "concept").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    order = Window.partitionBy("query").orderBy(F.desc("n"), "concept")
+    top = counts.withColumn("i", F.row_number().over(order)).where(F.col("i") <= n)
+    return top.groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "concept"))), lambda x: x["concept"]).alias("concepts"))
+
+
 def reformulate(text: str, concepts: list[str], n: int = 3) -> list[str]:
     """Other forms of a request: expanded, with its hits' concepts, the concepts alone, with a synonym put in."""
     forms = [expand(text)] if may_expand(text) else []
@@ -186,3 +195,16 @@ def reformulate(text: str, concepts: list[str], n: int = 3) -> list[str]:
     forms += [re.sub(rf"\b{w}\b", s[0], text, flags=re.I) for w, s in SYNONYMS.items() if re.search(rf"\b{w}\b", text, re.I)][:1]
     kept = {f.lower(): f for f in reversed(forms) if f.lower() != text.lower()}
     return [f for f in dict.fromkeys(forms) if kept.get(f.lower()) == f][:n]
+
+
+def reformulate_column(text: Column, concepts: Column, n: int = 3) -> Column:
+    """reformulate() of a column of requests with arrays of concepts."""
+    words = F.split(F.lower(text), r"\s+")
+    wide = (F.size(F.array_remove(words, "")) <= 4) & ~F.lower(text).rlike(r"\b(and|or|not)\b|[\"'()]") & F.arrays_overlap(words, F.array(*map(F.lit, SYNONYMS)))
+    named = F.transform(F.slice(concepts, 1, 2), lambda c: F.concat(text, F.lit(" "), c))
+    alone = F.when(F.size(concepts) > 0, F.array(F.array_join(F.slice(concepts, 1, 3), " "))).otherwise(F.array())
+    swaps = [F.when(text.rlike(rf"(?i)\b{w}\b"), F.regexp_replace(text, rf"(?i)\b{w}\b", s[0])) for w, s in SYNONYMS.items()]
+    forms = F.concat(F.when(wide, F.array(expand_column(text))).otherwise(F.array()), named, alone, F.array_compact(F.array(F.coalesce(*swaps))))
+    lower = F.transform(forms, lambda f: F.lower(f))
+    first = F.filter(forms, lambda f, i: (F.array_position(lower, F.lower(f)) == i + 1) & (F.lower(f) != F.lower(text)))
+    return F.slice(first, 1, n)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators import lexical, lexical_index, vector, vector_index
-from lectern.registry import COSINE, POSTINGS, STOP, TOP, VECTORS, query
+from lectern.plans.search import Search
+from lectern.registry import COSINE, ORACLE_SQL, POSTINGS, STOP, TOP, VECTORS, query
 from lectern.sources.catalog import Catalog
 from lectern.storage import folder
 
@@ -103,3 +104,25 @@ def followed_search(c: Catalog) -> DataFrame:
 def followed_vocabulary(c: Catalog) -> DataFrame:
     """Frequencies kept up by adding changes, not by counting again."""
     return _followed(c).vocabulary()
+
+
+#: All parts of all requests, searched apart and merged.
+PARTS = f"parts AS (SELECT item_id AS query, part, text AS q, importance FROM ({ORACLE_SQL['query_decompose']}) WHERE item_id % {EACH} = 0)"
+
+
+@query(
+    "decomposed_batch",
+    f"""WITH {POSTINGS}, {PARTS}, asked AS (SELECT query, part, importance, term, count(*) AS qtf FROM (SELECT query, part, importance, unnest(regexp_extract_all(lower(q), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM parts) WHERE term NOT IN ({STOP}) GROUP BY ALL),
+l AS (SELECT query, part, importance, id, round(sum(tf * idf * qtf * idf), 4) AS score FROM p JOIN voc USING (term) JOIN asked USING (term) GROUP BY ALL),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, part ORDER BY score DESC, id) AS rank FROM l) WHERE rank <= {2 * TOP}),
+s AS (SELECT query, id, round(sum(score * importance / rank), 4) AS score FROM r GROUP BY query, id) {BEST}""",
+)
+def decomposed_batch(c: Catalog) -> DataFrame:
+    return Search(c).decomposed_table(_requests(c), TOP)
+
+
+@query("iterative_batch")
+def iterative_batch(c: Catalog) -> DataFrame:
+    """Short requests, of every benchmark item, that often find too little; the tests compare with one request at a time in plain Python."""
+    short = F.concat(F.lit("memory "), F.array_join(F.slice(F.split("text", r"\s+"), 1, 2), " "))
+    return Search(c).iterative_table(c.table("benchmark").select(F.col("item_id").alias("query"), short.alias("text")), TOP)

@@ -213,6 +213,21 @@ def linked_chunks(c: Catalog) -> DataFrame:
     return graph.linked(c.papers(), c.table("orders").select(key.alias("paper"), F.array(key * 10 + 1, key * 10 + 2, key * 10 + 3, key * 10 + 2).alias("chunks")))
 
 
+#: Steps of a shortest path: the least neighbour one level nearer, from the far end back to the start.
+STEPS = f"h AS (SELECT id, min(hops) AS hops FROM w GROUP BY id), v AS (SELECT b.id, b.hops, min(a.id) AS via FROM h b JOIN u ON u.dst = b.id JOIN h a ON a.id = u.src AND a.hops = b.hops - 1 GROUP BY b.id, b.hops), t AS (SELECT id, hops, [id] AS path, via FROM v UNION ALL SELECT t.id, t.hops, list_prepend(t.via, path), v.via FROM t LEFT JOIN v ON v.id = t.via WHERE t.via IS NOT NULL)"
+
+
+@query("citation_paths", f"""WITH RECURSIVE {CITES}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), w AS (SELECT {PAPER}::BIGINT AS id, 0 AS hops UNION SELECT u.dst, hops + 1 FROM w JOIN u ON u.src = w.id WHERE hops < 3), {STEPS},
+n AS (SELECT o_orderkey AS id, year(o_orderdate)::INT AS year, coalesce(substring(split_part(text, chr(10), 1), 1, 60), 'paper ' || o_orderkey) AS title FROM orders LEFT JOIN documents ON doc_id = o_orderkey)
+SELECT t.id, t.hops::INT AS hops, n.year, array_to_string(path, '>') AS path, (SELECT string_agg(m.title, ' > ' ORDER BY list_position(path, m.id)) FROM n m WHERE list_contains(path, m.id)) AS titles, row_number() OVER (ORDER BY t.hops, n.year, t.id) AS place FROM t JOIN n ON n.id = t.id WHERE via IS NULL""")
+def citation_paths(c: Catalog) -> DataFrame:
+    """Papers of a citation chain with the titles on their way, nearest first, then by year."""
+    titles = c.table("documents").select(F.col("doc_id").alias("paper"), F.substring(F.substring_index("text", "\n", 1), 1, 60).alias("title"))
+    nodes = c.papers().join(titles, "paper", "left").select(F.col("paper").alias("id"), "title", "year")
+    found = graph.titled(graph.paths(c.edges("CITES"), PAPER, 3), nodes)
+    return graph.placed(found.select("id", "hops", "year", F.array_join("path", ">").alias("path"), F.array_join("titles", " > ").alias("titles")), ["hops", "year", "id"])
+
+
 @query("graph_available", "SELECT count(*) > 0 AS available FROM orders")
 def graph_available(c: Catalog) -> DataFrame:
     return graph.available(c.papers())

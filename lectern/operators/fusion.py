@@ -50,6 +50,14 @@ def decomposed(lists: DataFrame, importance: DataFrame, n: int) -> DataFrame:
     return _top(sums, n)
 
 
+def decomposed_by_query(lists: DataFrame, n: int) -> DataFrame:
+    """query, id, score, rank: decomposed() for lists of many requests (query, id, score, rank, importance)."""
+    part = F.col("score") * F.col("importance") / F.col("rank")
+    sums = lists.groupBy("query", "id").agg(F.round(F.sum(part), 4).alias("score"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    return sums.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n)
+
+
 def graph_boost(hits: DataFrame, related: DataFrame, weight: float = 0.7, most: int = 5) -> DataFrame:
     """id, score, rank: similarity x weight + min(related / 10, 0.3) x (1 - weight); related: id, n (at most `most` count)."""
     joined = hits.join(related, "id", "left")

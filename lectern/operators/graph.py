@@ -44,6 +44,44 @@ def chain(edges: DataFrame, start: int, hops: int) -> DataFrame:
     return seen.where("hops > 0")
 
 
+def paths(edges: DataFrame, start: int, hops: int) -> DataFrame:
+    """id, hops, path of what can be reached over edges in either direction in at most `hops` steps: the nodes of a shortest path, start first.
+
+    Breadth first: a node keeps the least of its neighbours one level nearer, and paths are put together backwards from
+    these, a join per hop. Each level is stored before the next.
+    """
+    both = edges.union(edges.select("dst", "src")).distinct()
+    level = edges.sparkSession.createDataFrame([(start, None, 0)], "id long, via long, hops int")
+    seen = level
+    for hop in range(1, hops + 1):
+        step = both.join(level.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("via"))
+        level = stored(step.join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop)))
+        seen = seen.unionByName(level)
+    back = seen.select(F.col("id").alias("at"), F.col("via").alias("next"))
+    rows = seen.where("hops > 0").select("id", "hops", F.array("id").alias("path"), F.col("via").alias("at"))
+    for _ in range(hops):
+        rows = rows.join(back, "at", "left").select("id", "hops", F.when(F.col("at").isNull(), F.col("path")).otherwise(F.concat(F.array("at"), "path")).alias("path"), F.col("next").alias("at"))
+    return rows.select("id", "hops", "path")
+
+
+def placed(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with their place from 1 in an order; ranges are sorted apart and numbered by the sizes of those before, so that no task has all rows."""
+    parts = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    ahead = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))  # a row a range
+    inside = Window.partitionBy("__part").orderBy(*order)
+    return parts.join(F.broadcast(ahead), "__part").withColumn("place", F.col("__ahead") + F.row_number().over(inside)).drop("__part", "__ahead")
+
+
+def titled(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """found (id, hops, path) with year and titles, those of the path's nodes (id, title, year) in order; nodes without a title are named by id."""
+    name = F.coalesce("title", F.concat(F.lit("paper "), "node"))
+    steps = found.select("id", "hops", F.posexplode("path").alias("at", "node")).join(nodes.withColumnRenamed("id", "node"), "node", "left")
+    order = F.array_sort(F.collect_list(F.struct("at", name.alias("title"))))
+    whole = steps.groupBy("id", "hops").agg(F.transform(order, lambda x: x["title"]).alias("titles"), F.max(F.when(F.col("node") == F.col("id"), F.col("year"))).alias("year"))
+    return found.join(whole, ["id", "hops"])
+
+
 def neighbours(edges: DataFrame, start: int, hops: int, n: int) -> DataFrame:
     """id, hops, papers: targets that share a source with start (hop 1), with those (hop 2), ...; papers in common.
 

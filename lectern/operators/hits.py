@@ -23,6 +23,12 @@ def coverage_quality(hits: DataFrame, score: str = "score") -> DataFrame:
     return found.withColumn("coverage", F.least(F.lit(1.0), F.col("n") / 10)).withColumn("escalate", F.col("confidence") == "low")
 
 
+def weak_queries(requests: DataFrame, rows: DataFrame) -> DataFrame:
+    """The requests (query, ...) whose rows (query, score) have low confidence by coverage_quality()'s rule; those without a row have."""
+    found = rows.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top"))
+    return requests.join(found.where((F.col("n") >= 5) & (F.col("top") >= 0.6)), "query", "left_anti")
+
+
 def distinct_items(hits: DataFrame, item: str = "item_key", rank: str = "rank") -> DataFrame:
     """The best-ranked row of each item; rows without an item go."""
     order = Window.partitionBy(item).orderBy(rank)

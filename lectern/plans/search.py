@@ -72,30 +72,47 @@ class Search:
             rows = stored(rows.unionByName(self.lists(rest, asked, seed, 2 * limit)))
         return fusion.rrf(rows, limit, list_weights=weights)
 
+    def _sparse(self, requests: DataFrame, n: int) -> DataFrame:
+        index = self.catalog.lexical_index()
+        return lexical.sparse_searches(index.postings, index.vocabulary, requests, n)
+
+    def _one(self, text: str) -> DataFrame:
+        return self.catalog.spark.createDataFrame([(0, text)], "query int, text string")
+
     def decomposed(self, text: str, limit: int = 10) -> DataFrame:
-        """id, score, rank, best_list: the parts of a request searched apart, never taken apart again, and merged."""
-        parts = ask.decompose(text)
-        lists = [self.backend("semantic", p.text, None, 2 * limit).withColumn("list", F.lit(f"{i}")) for i, p in enumerate(parts)]
-        rows = lists[0]
-        for more in lists[1:]:
-            rows = rows.unionByName(more)
-        importance = self.catalog.spark.createDataFrame([(f"{i}", p.importance) for i, p in enumerate(parts)], "list string, importance double")
-        return fusion.decomposed(rows, importance, limit)
+        """id, score, rank: the parts of a request searched apart, never taken apart again, and merged."""
+        return self.decomposed_table(self._one(text), limit).drop("query")
+
+    def decomposed_table(self, requests: DataFrame, limit: int = 10) -> DataFrame:
+        """query, id, score, rank of a table of requests (query, text): all parts of all requests in one plan."""
+        parts = requests.select("query", F.posexplode(ask.decompose_column(F.col("text"))).alias("part", "p"))
+        parts = stored(parts.select(F.struct("query", "part").alias("query"), "p.text", "p.importance"))
+        found = self._sparse(parts.select("query", "text"), 2 * limit).join(parts.select("query", "importance"), "query")
+        return fusion.decomposed_by_query(found.withColumn("query", F.col("query.query")), limit)
 
     def iterative(self, text: str, limit: int = 10, rounds: int = 2) -> DataFrame:
         """id, score, rank: a weak result is joined by those of reformulated requests, new ids only, by score."""
-        rows = stored(self.backend("semantic", text, None, 2 * limit))
+        return self.iterative_table(self._one(text), limit, rounds).drop("query")
+
+    def iterative_table(self, requests: DataFrame, limit: int = 10, rounds: int = 2) -> DataFrame:
+        """query, id, score, rank of a table of requests (query, text).
+
+        A round takes the requests whose results are weak, all at once: concepts of their three best rows, their forms,
+        and the rows of these that a request does not have yet. The number of plans is that of the rounds.
+        """
+        rows = stored(self._sparse(requests, 2 * limit))
+        docs = self.catalog.table("documents").select(F.col("doc_id").alias("id"), "text")
         for _ in range(rounds):
-            if not hits.coverage_quality(rows).first().escalate:
-                break
-            docs = self.catalog.table("documents").withColumnRenamed("doc_id", "id").join(F.broadcast(rows.where("rank <= 3").select("id")), "id")
-            concepts = [r.concept for r in ask.key_concepts(docs, "text", []).collect()]
-            more = [self.backend("semantic", form, None, limit) for form in ask.reformulate(text, concepts)]
-            if not more:
+            weak = hits.weak_queries(requests, rows)
+            top = rows.where("rank <= 3").join(weak.select("query"), "query", "left_semi").select("query", "id")
+            concepts = ask.key_concepts_by_query(docs.join(top, "id"), "text")
+            asked = weak.join(concepts, "query", "left").withColumn("concepts", F.coalesce("concepts", F.array().cast("array<string>")))
+            forms = asked.select("query", F.posexplode(ask.reformulate_column(F.col("text"), F.col("concepts"))).alias("form", "text"))
+            forms = stored(forms.select(F.struct("query", "form").alias("query"), "text"))
+            if forms.isEmpty():
                 break
-            found = more[0]
-            for x in more[1:]:
-                found = found.unionByName(x)
-            fresh = hits.distinct_items(found.join(rows.select("id"), "id", "left_anti"), "id").select(*rows.columns)
-            rows = stored(rows.unionByName(fresh))
-        return lexical.ranked(rows.select("id", "score"), "score", limit)
+            found = self._sparse(forms, limit).withColumn("form", F.col("query.form")).withColumn("query", F.col("query.query"))
+            fresh = found.join(rows.select("query", "id"), ["query", "id"], "left_anti")
+            best = fresh.groupBy("query", "id").agg(F.min_by("score", F.struct("rank", "form")).alias("score"), F.min("rank").alias("rank"))
+            rows = stored(rows.unionByName(best))
+        return lexical.ranked_by_query(rows.select("query", "id", "score"), limit)

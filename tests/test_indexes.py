@@ -129,3 +129,76 @@ def test_kept_tables_follow_their_input(spark, tmp_path):
         made = kept(spark, "rows", version(spark, path), lambda: spark.read.parquet(path))
         again = kept(spark, "rows", version(spark, path), lambda: 1 / 0)
         assert made.count() == again.count() == n
+
+
+# Tables of requests
+
+def test_requests_at_once_equal_requests_one_by_one(spark):
+    import re
+    from collections import Counter
+    from math import log
+
+    from lectern.functions import text as t
+    from lectern.functions import understanding as ask
+    from lectern.plans.search import Search
+
+    c = Catalog(spark, "/root/testdata/sf0.001")
+    docs = {r.doc_id: r.text for r in c.table("documents").collect()}
+    terms = lambda x: Counter(w for w in re.findall(r"[^\W]{2,}", x.lower()) if w not in t.STOP_WORDS)
+    index = {i: terms(x) for i, x in docs.items()}
+    df = Counter(w for x in index.values() for w in x)
+    cf = sum((x for x in index.values()), Counter())
+    voc = {w: round(log((1 + len(docs)) / (1 + df[w])) + 1, 6) for w in sorted(cf, key=lambda w: (-cf[w], w))[: lexical.FEATURES]}
+
+    def search(text, n):
+        asked, found = terms(text), {}
+        for i, x in index.items():
+            if hit := [w for w in asked if w in x and w in voc]:
+                found[i] = sum(x[w] * voc[w] * asked[w] * voc[w] for w in hit)
+        return [(i, s, rank) for rank, (i, s) in enumerate(sorted(found.items(), key=lambda p: (-round(p[1], 4), p[0]))[:n], 1)]
+
+    def iterate(text, limit):
+        rows = search(text, 2 * limit)
+        for _ in range(2):
+            if len(rows) >= 5 and max(s for _, s, _ in rows) >= 0.6:
+                break
+            words = Counter(w for i, _, rank in rows if rank <= 3 for w in re.findall(r"[A-ZÀ-ÖØ-Þ][^\W\d_]{3,}|[a-zß-öø-ÿ]+-[a-zß-öø-ÿ]+", docs[i]))
+            concepts = sorted((w for w, n in words.items() if n > 1), key=lambda w: (-words[w], w))[:3]
+            forms = ask.reformulate(text, concepts)
+            if not forms:
+                break
+            fresh = {}
+            for f, form in enumerate(forms):
+                for i, s, rank in search(form, limit):
+                    if i not in {r[0] for r in rows}:
+                        fresh[i] = min(fresh.get(i, (99, 99, 0, 0)), (rank, f, s))
+            rows += [(i, s, rank) for i, (rank, _, s) in fresh.items()]
+        return [i for i, _, _ in sorted(rows, key=lambda r: (-round(r[1], 4), r[0]))[:limit]]
+
+    rare = [w for w, n in df.items() if n == 1 and w.isascii() and w.isalpha()][:6]
+    requests = [f"memory {w}" for w in rare] + ["Zxqv neural", "", "The of", f"{rare[0]} or {rare[1]}"] + [" ".join(list(terms(x))[:2]) for x in list(docs.values())[:4]]
+    table = spark.createDataFrame(list(enumerate(requests)), "query int, text string")
+    got = {}
+    for r in Search(c).iterative_table(table, 8).orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append(r.id)
+    assert got == {q: ids for q, x in enumerate(requests) if (ids := iterate(x, 8))}
+
+
+def test_reformulations_agree(spark):
+    from lectern.functions import understanding as ask
+
+    cases = [("memory thor", ["Alpha", "Beta", "Gamma"]), ("ml", []), ("AI and memory", ["X"]), ("a long request of many words", ["Y"]), ("neural", ["neural"]), ("", [])]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, text string, concepts array<string>")
+    got = {r.i: list(r.f) for r in df.select("i", ask.reformulate_column(F.col("text"), F.col("concepts")).alias("f")).collect()}
+    assert got == {i: ask.reformulate(*c) for i, c in enumerate(cases)}
+
+
+def test_paths(spark):
+    from lectern.operators import graph
+
+    edges = spark.createDataFrame([(1, 2), (3, 1), (2, 4), (3, 4), (4, 5), (5, 6), (9, 9)], "src long, dst long")
+    found = graph.paths(edges, 1, 3)
+    assert {r.id: list(r.path) for r in found.collect()} == {2: [1, 2], 3: [1, 3], 4: [1, 2, 4], 5: [1, 2, 4, 5]}
+    named = graph.titled(found, spark.createDataFrame([(1, "One", 2001), (2, None, 2002), (4, "Four", 1999)], "id long, title string, year int"))
+    assert {r.id: (list(r.titles), r.year) for r in named.collect()}[4] == (["One", "paper 2", "Four"], 1999)
+    assert [r.id for r in graph.placed(named.select("id", "hops"), ["hops", "id"]).orderBy("place").collect()] == [2, 3, 4, 5]
