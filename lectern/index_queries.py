@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators import lexical, lexical_index, vector, vector_index
+from lectern.operators import graph_store, lexical, lexical_index, vector, vector_index
 from lectern.plans.search import Search
 from lectern.registry import COSINE, ORACLE_SQL, POSTINGS, STOP, TOP, VECTORS, query
 from lectern.sources.catalog import Catalog
 from lectern.storage import folder
+from lectern.streaming import ingest, update
 
 #: Searches take every row whose id is divisible by this as a request, against all rows.
 EACH = 50
+#: Buckets of the small stores that queries make.
+FEW_BUCKETS = 8
 
 
 def _seeds(c: Catalog) -> DataFrame:
@@ -126,3 +129,74 @@ def iterative_batch(c: Catalog) -> DataFrame:
     """Short requests, of every benchmark item, that often find too little; the tests compare with one request at a time in plain Python."""
     short = F.concat(F.lit("memory "), F.array_join(F.slice(F.split("text", r"\s+"), 1, 2), " "))
     return Search(c).iterative_table(c.table("benchmark").select(F.col("item_id").alias("query"), short.alias("text")), TOP)
+
+
+# Graph store: concepts and people, then what the lines say of them, then old and repeated writes
+
+GRAPH_BATCHES = """a AS (SELECT 'Concept' AS label, p_partkey::VARCHAR AS key, [{'n': 'name', 'v': p_name}, {'n': 'type', 'v': p_type}] AS props, 1 AS stamp FROM part UNION ALL SELECT 'Person', s_suppkey::VARCHAR, [{'n': 'name', 'v': s_name}], 1 FROM supplier),
+b AS (SELECT 'Concept' AS label, l_partkey::VARCHAR AS key, [{'n': 'lines', 'v': count(*)::VARCHAR}, {'n': 'last', 'v': strftime(max(l_shipdate), '%Y-%m-%d')}] AS props, 2 AS stamp FROM lineitem GROUP BY l_partkey
+      UNION ALL SELECT 'Concept', p_partkey::VARCHAR, [{'n': 'name', 'v': upper(p_name)}], 2 FROM part WHERE p_partkey % 5 = 0 UNION ALL SELECT 'Paper', o_orderkey::VARCHAR, [{'n': 'venue', 'v': o_orderpriority}], 2 FROM orders),
+c AS (SELECT 'Concept' AS label, p_partkey::VARCHAR AS key, [{'n': 'name', 'v': 'old'}, {'n': 'note', 'v': 'late'}] AS props, 0 AS stamp FROM part WHERE p_partkey % 7 = 0)"""
+
+
+def _graph_batches(c: Catalog) -> list[DataFrame]:
+    props = lambda **x: F.create_map(*[y for k, v in x.items() for y in (F.lit(k), v)])
+    node = lambda table, label, key, p, stamp: table.select(F.lit(label).alias("label"), F.col(key).cast("string").alias("key"), p.alias("props"), F.lit(stamp).cast("long").alias("stamp"))
+    part, col = c.table("part"), F.col
+    lines = c.table("lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).cast("string").alias("n"), F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("last"))
+    a = node(part, "Concept", "p_partkey", props(name=col("p_name"), type=col("p_type")), 1).unionByName(node(c.table("supplier"), "Person", "s_suppkey", props(name=col("s_name")), 1))
+    b = node(lines, "Concept", "l_partkey", props(lines=col("n"), last=col("last")), 2).unionByName(node(part.where("p_partkey % 5 = 0"), "Concept", "p_partkey", props(name=F.upper("p_name")), 2))
+    b = b.unionByName(node(c.table("orders"), "Paper", "o_orderkey", props(venue=col("o_orderpriority")), 2))
+    return [a, b, node(part.where("p_partkey % 7 = 0"), "Concept", "p_partkey", props(name=F.lit("old"), note=F.lit("late")), 0), b]
+
+
+@query("graph_merged", f"WITH {GRAPH_BATCHES}, w AS (SELECT label, key, p.n AS name, stamp, p.v AS value FROM (SELECT label, key, stamp, unnest(props) AS p FROM (FROM a UNION ALL FROM b UNION ALL FROM c))) SELECT label, key, name, arg_max(value, stamp) AS value FROM w GROUP BY label, key, name")
+def graph_merged(c: Catalog) -> DataFrame:
+    """Properties of all nodes after four merges, of which one is older and one a repetition."""
+    graph = graph_store.GraphStore(c.spark, folder(c.spark), FEW_BUCKETS)
+    for batch in _graph_batches(c):
+        graph.merge(batch)
+    return graph.nodes().select("label", "key", F.explode("props").alias("name", "value"))
+
+
+@query("graph_merge_counts", f"""WITH {GRAPH_BATCHES}, k AS (SELECT DISTINCT label, key FROM a), l AS (SELECT DISTINCT label, key FROM b), m AS (SELECT DISTINCT label, key FROM c), old AS (SELECT label, key FROM k UNION SELECT label, key FROM l)
+SELECT 0 AS batch, count(*) AS nodes_created, 0::BIGINT AS nodes_updated, 0::BIGINT AS nodes_unchanged FROM k UNION ALL SELECT 1, sum((k.key IS NULL)::INT)::BIGINT, sum((k.key IS NOT NULL)::INT)::BIGINT, 0 FROM l LEFT JOIN k USING (label, key)
+UNION ALL SELECT 2, sum((old.key IS NULL)::INT)::BIGINT, sum((old.key IS NOT NULL)::INT)::BIGINT, 0 FROM m LEFT JOIN old USING (label, key) UNION ALL SELECT 3, 0, 0, count(*) FROM l""")
+def graph_merge_counts(c: Catalog) -> DataFrame:
+    """What each merge created, updated and left: the repeated one leaves all."""
+    graph = graph_store.GraphStore(c.spark, folder(c.spark), FEW_BUCKETS)
+    told = [graph.merge(batch) for batch in _graph_batches(c)]
+    return c.spark.createDataFrame([(i, x["nodes_created"], x["nodes_updated"], x["nodes_unchanged"]) for i, x in enumerate(told)], "batch int, nodes_created long, nodes_updated long, nodes_unchanged long")
+
+
+# Update driver: the documents arrive, then a second file with unchanged, changed, blank and new ones
+
+ARRIVED = "a AS (SELECT doc_id AS k, text FROM documents), b AS (SELECT CASE WHEN doc_id % 8 = 0 THEN doc_id + 1000000 ELSE doc_id END AS k, CASE WHEN doc_id % 10 = 0 THEN ' ' WHEN doc_id % 3 = 0 THEN text || ' more' ELSE text END AS text FROM documents WHERE doc_id % 2 = 0)"
+
+
+def _updated(c: Catalog) -> update.Updates:
+    root, col = folder(c.spark), F.col
+    docs = c.table("documents").select(col("doc_id").alias("item_key"), F.substring_index("text", "\n", 1).alias("title"), col("text").alias("body"), F.lit(1).cast("long").alias("stamp"))
+    docs.coalesce(1).write.parquet(f"{root}/arrived")
+    body = F.when(col("item_key") % 10 == 0, " ").when(col("item_key") % 3 == 0, F.concat("body", F.lit(" more"))).otherwise(col("body"))
+    key = F.when(col("item_key") % 8 == 0, col("item_key") + 1_000_000).otherwise(col("item_key"))
+    docs.where("item_key % 2 = 0").select(key.alias("item_key"), "title", body.alias("body"), F.lit(2).cast("long").alias("stamp")).coalesce(1).write.mode("append").parquet(f"{root}/arrived")
+    updates = update.Updates(c.spark, f"{root}/library", FEW_BUCKETS)
+    updates.run(ingest.stream(c.spark, f"{root}/arrived", docs.schema), f"{root}/state")
+    return updates
+
+
+@query("update_counters", f"WITH {ARRIVED} SELECT 0 AS batch, sum((trim(text) <> '')::INT)::BIGINT AS added, 0::BIGINT AS updated, 0::BIGINT AS skipped, sum((trim(text) = '')::INT)::BIGINT AS failed FROM a UNION ALL SELECT 1, sum((trim(b.text) <> '' AND a.k IS NULL)::INT)::BIGINT, sum((trim(b.text) <> '' AND a.text <> b.text)::INT)::BIGINT, sum((trim(b.text) <> '' AND a.text = b.text)::INT)::BIGINT, sum((trim(b.text) = '')::INT)::BIGINT FROM b LEFT JOIN (SELECT * FROM a WHERE trim(text) <> '') a USING (k)")
+def update_counters(c: Catalog) -> DataFrame:
+    told = _updated(c).counters()
+    return c.spark.createDataFrame([(n, x["added"], x["updated"], x["skipped"], x["failed"]) for n, x in told.items()], "batch int, added long, updated long, skipped long, failed long")
+
+
+@query("update_sinks", f"WITH {ARRIVED}, n AS (SELECT coalesce(b.k, a.k) AS k, coalesce(b.text, a.text) AS text FROM (SELECT * FROM a WHERE trim(text) <> '') a FULL JOIN (SELECT * FROM b WHERE trim(text) <> '') b ON a.k = b.k) SELECT k AS item_key, md5(text) AS digest, ((length(text) + 1999) // 2000)::BIGINT AS chunks, ((length(text) + 1999) // 2000)::BIGINT AS vectors, true AS in_graph FROM n")
+def update_sinks(c: Catalog) -> DataFrame:
+    """What the tables of items, chunks, vectors and graph nodes hold after both batches."""
+    store = _updated(c).store
+    count = lambda name: store.read(name).groupBy("item_key").agg(F.count(F.lit(1)).alias(name))
+    papers = store.read("nodes").where("label = 'Paper'").select(F.col("key").cast("long").alias("item_key"), F.lit(True).alias("__there"))
+    rows = store.read("items").select("item_key", "digest").join(count("chunks"), "item_key", "left").join(count("vectors"), "item_key", "left").join(papers, "item_key", "left")
+    return rows.select("item_key", "digest", "chunks", "vectors", F.coalesce("__there", F.lit(False)).alias("in_graph"))

@@ -18,12 +18,16 @@ def stream(spark: SparkSession, path: str, schema: StructType, files_per_batch:
 
 
 def _versions(spark: SparkSession, index: str) -> dict[int, list[int]]:
-    """The batches that wrote each bucket, in order."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{index}/batch=*/bucket=*")
+    """The complete batches that wrote each bucket, in order. A batch is complete when its job has left its marker: one that is being written, or failed half way, is not read."""
+    at = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{index}/{name}")
+    system = at("").getFileSystem(spark._jsc.hadoopConfiguration())
+    listed = lambda name: [status.getPath().toString() for status in system.globStatus(at(name)) or []]
+    complete = {path.rsplit("/", 2)[1] for path in listed("batch=*/_SUCCESS")}
     found: dict[int, list[int]] = {}
-    for status in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []:
-        batch, bucket = (int(part.rpartition("=")[2]) for part in status.getPath().toString().rsplit("/", 2)[1:])
-        found.setdefault(bucket, []).append(batch)
+    for path in listed("batch=*/bucket=*"):
+        name, bucket = path.rsplit("/", 2)[1:]
+        if name in complete:
+            found.setdefault(int(bucket.rpartition("=")[2]), []).append(int(name.rpartition("=")[2]))
     return {bucket: sorted(batches) for bucket, batches in found.items()}
 
 
