@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 REFERENCES = re.compile(r"^\s*(#{1,4}\s*)?(\d+\.?\s*)?(references|bibliography|works cited|literature cited)\s*:?\s*$", re.I)
+REFERENCE_HEADING = r"(?i)^\s*(#{1,4}\s*)?(\d+\.?\s*)?(references|bibliography|works cited|literature cited)\s*:?\s*$"
 NUMBERED = re.compile(r"^\s*(\[\d+\]|\d+\.)\s+\S")
 SENTENCE_END = re.compile(r"[.!?][\"')\]]*\s+")
 #: Lines of a reference list without a heading: so many numbered lines, with at most this gap between them.
@@ -82,15 +83,54 @@ def applied(docs: DataFrame, key: str, text: str, split) -> DataFrame:
 
 
 def repaired(chunks: DataFrame, key: str = "item_key") -> DataFrame:
-    """chunks (key, chunk_id, chunk) with whole_sentences() along each document."""
-
-    @F.pandas_udf("array<string>")
-    def repair(batch: pd.Series) -> pd.Series:
-        return pd.Series([whole_sentences(list(c)) for c in batch])
-
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "chunk"))), lambda x: x["chunk"])
-    rows = chunks.groupBy(key).agg(listed.alias("__chunks"))
-    return rows.select(key, F.posexplode(repair("__chunks")).alias("chunk_id", "chunk"))
+    """chunks (key, chunk_id, chunk) with whole_sentences() along each document, as a scan.
+
+    What a chunk passes on depends on itself alone: the rest after its last sentence end, nothing if it ends a sentence,
+    has no such end or is the last. So a chunk is what the one before passed on and itself without its own rest.
+    """
+    text, order = F.coalesce("chunk", F.lit("")), Window.partitionBy(key).orderBy("chunk_id")
+    ended = text.rlike(r"[.!?][\"')\]]*\s*\z")
+    last = F.lead(F.lit(1)).over(order).isNull()
+    rest = F.when(ended | last, "").otherwise(F.regexp_extract(text, r"(?s)\A.*[.!?][\"')\]]*\s+(.*)\z", 1))
+    rows = chunks.withColumn("__rest", rest).withColumn("__before", F.coalesce(F.lag("__rest").over(order), F.lit("")))
+    own = F.when(F.col("__rest") == "", text).otherwise(F.regexp_replace(F.substring(text, F.lit(1), F.length(text) - F.length("__rest")), r"\s+\z", ""))
+    whole = F.when(F.col("__before") == "", own).otherwise(F.concat("__before", F.lit(" "), own))
+    return rows.withColumn("chunk", whole).drop("__rest", "__before")
+
+
+def without_references(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, text: before_references() as windows over lines; nulls stay.
+
+    Numbered lines with gaps of at most GAP form islands; the first to reach RUN lines, or a heading if one comes before
+    that line, ends the text, at the island's first line or at the heading.
+    """
+    lines = docs.select(F.col(key), F.posexplode(F.split(text, "\n")).alias("no", "line"))
+    head, numbered = F.col("line").rlike(REFERENCE_HEADING), F.col("line").rlike(r"^\s*(\[\d+\]|\d+\.)\s+\S")
+    order = Window.partitionBy(key).orderBy("no")
+    apart = (F.col("no") - F.lag("no").over(order) > GAP).cast("int")
+    islands = lines.where(numbered).withColumn("island", F.sum(F.coalesce(apart, F.lit(0))).over(order))
+    inside = Window.partitionBy(key, "island").orderBy("no")
+    runs = islands.withColumn("n", F.row_number().over(inside)).withColumn("first", F.first("no").over(inside)).where(F.col("n") == RUN)
+    ends = runs.select(key, F.struct(F.col("no").alias("at"), F.col("first").alias("cut")).alias("end")).unionByName(lines.where(head).select(key, F.struct(F.col("no").alias("at"), F.col("no").alias("cut")).alias("end")))
+    cuts = ends.groupBy(key).agg(F.min("end")["cut"].alias("__cut"))
+    return docs.join(cuts, key, "left").select(*[F.col(c) for c in docs.columns if c != text], F.when(F.col("__cut").isNull(), F.col(text)).otherwise(F.array_join(F.slice(F.split(text, "\n"), F.lit(1), F.col("__cut")), "\n")).alias(text))
+
+
+def paragraph_chunks(docs: DataFrame, key: str, text: str, size: int = 1000, overlap: int = 100) -> DataFrame:
+    """key, chunk_id, chunk: paragraphs() as a fold along each text's parts."""
+    trimmed = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"\A\s+|\s+\z", "")), lambda p: p != "")
+    sentences = lambda p: F.filter(F.split(p, r"(?<=[.!?])\s+"), lambda s: s != "")
+    parts = F.flatten(F.transform(trimmed, lambda p: F.when(F.length(p) > size, sentences(p)).otherwise(F.array(p))))
+
+    def packed(state: Column, part: Column) -> Column:
+        now = state["now"]
+        full = (now != "") & (F.length(now) + F.length(part) + 2 > size)
+        kept = F.when(full, F.right(now, F.lit(overlap)) if overlap else F.lit("")).otherwise(now)
+        return F.struct(F.when(full, F.concat(state["out"], F.array(now))).otherwise(state["out"]).alias("out"), F.when(kept == "", part).otherwise(F.concat(kept, F.lit("\n\n"), part)).alias("now"))
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"))
+    chunks = F.aggregate(parts, start, packed, lambda s: F.when(s["now"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(s["now"]))))
+    return docs.select(key, F.posexplode(chunks).alias("chunk_id", "chunk"))
 
 
 def labelled_text(labels: Column) -> Column:

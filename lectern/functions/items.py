@@ -11,7 +11,7 @@ ENTRY_TYPES = {
     "thesis": "phdthesis", "report": "techreport", "webpage": "misc", "manuscript": "unpublished", "preprint": "misc",
 }
 #: Names of the usual highlight colours.
-COLOURS = {"#ffd400": "yellow", "#ff6666": "red", "#5fb236": "green", "#2ea8e5": "blue", "#a28ae5": "purple", "#e56eee": "magenta", "#f19837": "orange", "#aaaaaa": "gray"}
+COLOURS = {"#ffd400": "Yellow", "#ff6666": "Red", "#5fb236": "Green", "#2ea8e5": "Blue", "#a28ae5": "Purple", "#e56eee": "Magenta", "#f19837": "Orange", "#aaaaaa": "Gray"}
 #: JSON of an annotation's place.
 POSITION = "struct<pageIndex: int, rects: array<array<double>>>"
 
@@ -26,8 +26,35 @@ def escaped(text: Column) -> Column:
     return F.regexp_replace(text, r"([{}])", r"\\$1")
 
 
+#: Further fields of an entry, in order.
+FIELDS = ("volume", "number", "pages", "publisher", "doi", "url", "abstract")
+
+
+def joined_authors(creators: Column) -> Column:
+    """`Last, First and Name and ...` of the authors in an array of creators (creatorType, firstName, lastName, name); null without any."""
+    authors = F.filter(creators, lambda c: c["creatorType"] == "author")
+    names = F.transform(authors, lambda c: F.coalesce(F.concat_ws(", ", F.nullif(c["lastName"], F.lit("")), F.when(c["lastName"] != "", F.nullif(c["firstName"], F.lit("")))), F.lit("")))
+    named = F.filter(F.transform(F.arrays_zip(names.alias("n"), authors.alias("a")), lambda z: F.when(z["n"] != "", z["n"]).otherwise(F.coalesce(z["a"]["name"], F.lit("")))), lambda n: n != "")
+    return F.when(F.size(named) > 0, F.array_join(named, " and "))
+
+
+def bibtex_full(item_type: Column, key: Column, creators: Column, title: Column, date: Column, publication: Column, **more: Column) -> Column:
+    """An entry with all fields: title, journal, those of FIELDS that are given, authors, year; empty ones are left out.
+
+    Its key is the first creator's last name without blanks (of a single name the last word), the year or "nodate", and the item key.
+    """
+    first = F.get(creators, 0)
+    word = F.coalesce(F.nullif(first["lastName"], F.lit("")), F.element_at(F.split(first["name"], r"\s+"), -1), F.lit(""))
+    year = F.nullif(F.substring(date, 1, 4), F.lit(""))
+    head = F.concat(F.lit("@"), looked_up(item_type, ENTRY_TYPES, "misc"), F.lit("{"), F.regexp_replace(word, " ", ""), F.coalesce(year, F.lit("nodate")), F.lit("_"), key.cast("string"))
+    given = {"title": title, "journal": publication, **{name: more[name] for name in FIELDS if name in more}}
+    line = lambda name, value: F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"  {name} = {{"), value, F.lit("}")))
+    fields = [line(name, escaped(value)) for name, value in given.items()] + [line("author", joined_authors(creators)), line("year", year)]
+    return F.concat(F.concat_ws(",\n", head, *fields), F.lit("\n}"))
+
+
 def bibtex(item_type: Column, key: Column, author: Column, title: Column, year: Column, publication: Column) -> Column:
-    """An entry: its key is the first author's last word, the year and the item key; empty fields are left out."""
+    """A short entry: its key is the first author's last word, the year and the item key; empty fields are left out."""
     word = F.regexp_extract(author, r"([\p{L}\p{N}#]+)[^\p{L}\p{N}#]*$", 1)
     head = F.concat(F.lit("@"), looked_up(item_type, ENTRY_TYPES, "misc"), F.lit("{"), F.coalesce(word, F.lit("")), F.coalesce(year, F.lit("")), F.lit("_"), key.cast("string"))
     field = lambda name, value: F.when(value.isNotNull() & (value != ""), F.concat(F.lit(f"  {name} = {{"), escaped(value), F.lit("}")))
@@ -35,11 +62,12 @@ def bibtex(item_type: Column, key: Column, author: Column, title: Column, year:
     return F.concat(F.concat_ws(",\n", head, *fields), F.lit("\n}"))
 
 
-def markdown(key: Column, title: Column, author: Column, date: Column, item_type: Column, body: Column) -> Column:
-    """A document with YAML front matter, a heading and a body."""
+def markdown(key: Column, title: Column, author: Column, date: Column, item_type: Column, body: Column, publication: Column | None = None) -> Column:
+    """A document with YAML front matter, a heading and a body; the publication stands in both, where there is one."""
     quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.coalesce(c, F.lit("")), '"', '\\\\"'), F.lit('"'))
-    front = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("title: "), quoted(title)), F.concat(F.lit("authors: "), quoted(author)), F.concat(F.lit("date: "), quoted(date)), F.concat(F.lit("type: "), quoted(item_type)), F.concat(F.lit("key: "), key.cast("string")), F.lit("---"))
-    return F.concat_ws("\n\n", front, F.concat(F.lit("# "), F.coalesce(title, F.lit(""))), F.coalesce(body, F.lit("")))
+    front = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("title: "), quoted(title)), F.concat(F.lit("authors: "), quoted(author)), F.concat(F.lit("date: "), quoted(date)), F.concat(F.lit("type: "), quoted(item_type)), *([F.when(publication != "", F.concat(F.lit("publication: "), quoted(publication)))] if publication is not None else []), F.concat(F.lit("key: "), key.cast("string")), F.lit("---"))
+    shown = [F.when(publication != "", F.concat(F.lit("**Publication:** "), publication))] if publication is not None else []
+    return F.concat_ws("\n\n", front, F.concat(F.lit("# "), F.coalesce(title, F.lit(""))), *shown, F.coalesce(body, F.lit("")))
 
 
 def file_name(title: Column, key: Column, width: int = 50) -> Column:

@@ -53,7 +53,7 @@ def test_tags(spark):
 
 def test_annotation(spark):
     got = one(spark, ('{"pageIndex": 2, "rects": [[1.5, 2.5, 3, 4]]}', "#FFD400"), "p string, c string", items.annotation(F.col("p"), F.col("c")))
-    assert (got.page, got.x, got.y, got.colour) == (3, 1.5, 2.5, "yellow")
+    assert (got.page, got.x, got.y, got.colour) == (3, 1.5, 2.5, "Yellow")
 
 
 @given(st.lists(st.text(alphabet="ab. \n", max_size=30), max_size=6))
