@@ -121,17 +121,17 @@ def hex16(fp: Column) -> Column:
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of each row: the least doc_id reachable over links.
 
-    Rows link when their fingerprints differ in at most `distance` bits; equal fingerprints collapse to one row
-    before any are compared. The id column holds whole numbers. Empty and null texts share fingerprint zero and
-    link like others. Repeated rows get equal values; rows with a null id get the component of their fingerprint's
-    other rows, null if there are none. Extra columns are left out; an empty table gives an empty one.
+    Rows link when their fingerprints differ in at most `distance` bits, whatever their ids: fingerprints are the nodes,
+    so a row with a null id links and bridges like others, and rows that share an id are rows of their own, which the id
+    does not link. A component is named by the least id of its rows that is not null; one of null ids alone has a null name.
+    Equal fingerprints collapse to one node before any are compared. The id column holds whole numbers. Empty and null
+    texts share fingerprint zero and link like others. Extra columns are left out; an empty table gives an empty one.
     """
     prints = stored(fingerprints(docs, words, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "fp"))
-    distinct = stored(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")).select("id", "fp", "n"))
-    # two fingerprints may share a least id where ids repeat: links then join the id to itself, the groups hold
-    groups = components(linked(distinct.select("id", "fp"), distance))
-    named = distinct.join(groups, distinct["id"] == groups["node"], "left").select("fp", "n", F.coalesce("component", "id").alias("component_id"))
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))
+    groups = components(linked(distinct.select(F.col("fp").alias("id"), "fp"), distance))
+    rooted = stored(distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "id", F.col("n").alias("rows"), F.coalesce("component", "fp").alias("root")))
+    least = stored(rooted.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    named = joined(rooted, least, ["root"]).select("fp", F.col("rows").alias("n"), "component_id")
     found = joined(prints, stored(named), ["fp"], "left")
     return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
-
-

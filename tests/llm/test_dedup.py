@@ -71,6 +71,20 @@ def test_simhash_table(spark):
     assert sorted(map(tuple, simhash.near_duplicates(docs).collect()), key=repr) == expected_components(rows)
 
 
+def test_null_and_repeated_ids_link(spark, monkeypatch):
+    fps = [(1, 0), (None, 0b1111), (3, 0b11111111), (7, 1 << 40 | 1 << 63), (None, 7 << 20), (5, 1 << 50), (9, 1 << 50), (3, 0xFF << 50), (5, 0xFF << 50), (None, 0xFF << 30), (2, -1)]
+    rows = [(k, f - (1 << 64) if f >> 63 == 1 else f) for k, f in fps]
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: spark.createDataFrame(rows, "doc_id long, fp long"))
+    unsigned = [f % (1 << 64) for _, f in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if (unsigned[i] ^ unsigned[j]).bit_count() <= 4]
+    roots = grouped(len(rows), links)
+    least = {r: min((k for (k, _), s in zip(rows, roots, strict=True) if s == r and k is not None), default=None) for r in roots}
+    want = sorted(((k, f"{u:016x}", least[r]) for (k, _), u, r in zip(rows, unsigned, roots, strict=True)), key=repr)
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.near_duplicates(docs).collect()), key=repr) == want
+    assert (3, f"{0b11111111:016x}", 1) in want and (None, f"{0xFF << 30:016x}", None) in want and (5, f"{0xFF << 50:016x}", 3) in want
+
+
 def test_simhash_cases(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 4)  # several tiles even here
     rng = random.Random(2)
