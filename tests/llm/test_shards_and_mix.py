@@ -1,8 +1,10 @@
 """Sharding, positions and mixing."""
 
 import zlib
+from fractions import Fraction
 from itertools import combinations
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -58,41 +60,84 @@ def test_positions(spark):
         seen[r.k] = at + 1, total + r.n
 
 
-@given(st.dictionaries(st.integers(0, 30), st.integers(1, 60), min_size=1, max_size=12))
-def test_pfair(slots):
-    period, done = sum(slots.values()), dict.fromkeys(slots, 0)
-    for t, (i, k) in enumerate(mixing.pfair_period(slots), 1):
-        assert k == done[i]
+def fluid(blocks, weights, slots):
+    """Exact shares of each source after every slot, by filling slot after slot."""
+    done, out = {i: Fraction(0) for i in blocks}, []
+    for _ in range(slots):
+        free = Fraction(1)
+        while free:
+            left = [i for i in blocks if done[i] < blocks[i]]
+            total = sum(weights[i] for i in left)
+            step = min(free, min((blocks[i] - done[i]) * total / weights[i] for i in left))
+            for i in left:
+                done[i] += step * weights[i] / total
+            free -= step
+        out.append(dict(done))
+    return out
+
+
+@settings(max_examples=60)
+@given(st.dictionaries(st.integers(0, 9), st.tuples(st.integers(0, 25), st.floats(1e-9, 50)), min_size=1, max_size=7))
+def test_schedule_keeps_within_a_block(sources):
+    blocks = {i: n for i, (n, _) in sources.items()}
+    exact = {i: Fraction(w) for i, (_, w) in sources.items()}
+    done, want = dict.fromkeys(blocks, 0), fluid(blocks, exact, sum(blocks.values()))
+    rows = list(mixing.schedule(blocks, {i: w for i, (_, w) in sources.items()}, 7))
+    for t, (i, k, phase, release, deadline, slot) in enumerate(rows):
+        assert slot == t + 7 and release <= slot < deadline and k == done[i]
         done[i] += 1
-        assert all(abs(done[j] - t * slots[j] / period) < 1 for j in slots)
-    assert done == slots
-
-
-@settings(max_examples=30)
-@given(st.dictionaries(st.integers(0, 8), st.integers(0, 700), min_size=1, max_size=6), st.floats(0.0001, 3))
-def test_phases(blocks, odd):
-    """Every block has one slot, all slots are used, and sources keep within two blocks of their targets while a phase lasts."""
-    weights = {i: odd + i * 1.37 for i in blocks}
-    used, done, t = {}, dict.fromkeys(blocks, 0), 0
-    for phase in mixing.phases(blocks, weights, 64):
-        assert phase.start == t
-        begun, total = dict(done), sum(weights[i] for i in phase.weights)
-        for n in range(-(-phase.length // phase.period)):
-            for i, k, release, deadline, slot in phase.plan(n):
-                if slot < phase.start + phase.length:
-                    assert slot == t and k == done[i] and release <= slot < deadline
-                    used[i, k] = slot
-                    done[i] += 1
-                    t += 1
-                    assert all(abs(done[j] - begun[j] - (t - phase.start) * weights[j] / total) < 2 for j in phase.weights)
-    assert done == blocks and sorted(used.values()) == list(range(sum(blocks.values())))
-
-
-def test_targets_hold_over_many_periods():
-    weights = {i: (i + 1) ** 0.5 for i in range(20)}
-    phase, total = mixing.Phase(0, 1 << 40, 2048, {i: round(w * 2**30) for i, w in weights.items()}, dict.fromkeys(weights, 0)), sum(weights.values())
-    for periods in (1, 1000, 10**6, 10**9):
-        assert all(abs(n - periods * 2048 * weights[i] / total) < 1 + periods * 2048 * 2**-30 for i, n in phase.reached(periods).items())
+        assert all(abs(done[j] - want[t][j]) < 1 for j in blocks) and 0 <= phase < len(blocks)
+    assert done == blocks and len(rows) == sum(blocks.values())
+
+
+def test_many_sources_and_slots():
+    """A thousand sources, a million slots: at its own slots, where a source is farthest from its target, it is less than a block from it."""
+    weights = {i: (i + 1) ** 0.5 * (1e-9 if i == 5 else 1) for i in range(1000)}
+    total = sum(weights.values())
+    blocks = {i: max(1, round(1_000_000 * w / total)) for i, w in weights.items()}
+    # v, the work for each unit of weight, at which a source ends, and the slots passed by then
+    order = sorted(blocks, key=lambda i: blocks[i] / weights[i])
+    v = np.array([0.0] + [blocks[i] / weights[i] for i in order])
+    left = np.array([total - sum(weights[i] for i in order[:n]) for n in range(len(order))])
+    t = np.concatenate([[0.0], np.cumsum(left * np.diff(v))])
+    worst = 0.0
+    for i, k, _, _, _, slot in mixing.schedule(blocks, weights):
+        before, after = np.interp([slot, slot + 1], t, v) * weights[i] if slot % 97 == 0 else (k, k + 1)
+        worst = max(worst, min(blocks[i], before) - k, k + 1 - min(blocks[i], after))
+    assert slot == sum(blocks.values()) - 1 and worst < 1 + 1e-6
+
+
+def brute_mix(spark, docs, width):
+    """doc_id, source, block, slot, block_row: rows in order of their hash, then the blocks of a plain search for the earliest deadline."""
+    rows = docs.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("h"), (F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("size")).collect()
+    of = {}
+    for r in rows:
+        of.setdefault(r.source, []).append(r)
+    sizes = {s: sum(r.size for r in own) for s, own in of.items()}
+    names = sorted(of, key=lambda s: (-sizes[s], s is not None, s))
+    blocks = {i: (sizes[s] - 1) // width + 1 for i, s in enumerate(names)}
+    want = fluid(blocks, {i: Fraction(float(sizes[s]) ** 0.5) for i, s in enumerate(names)}, sum(blocks.values()))
+    share = lambda i, t: want[t - 1][i] if t else 0
+    due = {(i, k): next(t for t in range(1, len(want) + 1) if share(i, t) >= k + 1) for i in blocks for k in range(blocks[i])}
+    begin = {(i, k): next(t for t in range(len(want)) if share(i, t + 1) > k) for i in blocks for k in range(blocks[i])}
+    slots, open_ = {}, set(due)
+    for t in range(len(want)):
+        job = min((b for b in open_ if begin[b] <= t), key=lambda b: (due[b], b))
+        slots[job] = t
+        open_.remove(job)
+    out = []
+    for i, s in enumerate(names):
+        before = 0
+        for at, r in enumerate(sorted(of[s], key=lambda r: (r.h, r.doc_id))):
+            out.append((r.doc_id, s, before // width, slots[i, before // width], at))
+            before += r.size
+    return sorted(out, key=repr)
+
+
+def test_mix_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = mixing.mixed(docs, block_bytes=4096).select("doc_id", "source", "block", "slot", "block_row").collect()
+    assert sorted(map(tuple, got), key=repr) == brute_mix(spark, docs, 4096)
 
 
 def test_mix_table(spark):
