@@ -95,6 +95,42 @@ def parameters(text: Column) -> Column:
     )
 
 
+#: A name in double or single quotes, or a word.
+NAMED = r"""(?:"([^"]+)"|'([^']+)'|([\p{L}\p{N}_-]+))"""
+ITEM_KEY = r"\b([A-Z0-9]{8})\b"
+
+
+def _first_of(text: Column, pattern: str, groups: int) -> Column:
+    """What the first match's groups caught, of which one is filled; null without a match."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, pattern, g), F.lit("")) for g in range(1, groups + 1)])
+
+
+def graph_parameters(text: Column) -> Column:
+    """A struct of author (capitalised words after with, of, by or for), concept (words after of, on, about, to or around, up to a
+    verb of change or a word that begins another part), start_year and end_year (the first and last of two years or more)."""
+    years = F.transform(F.regexp_extract_all(text, F.lit(r"\b((?:19|20)[0-9]{2})\b"), F.lit(1)), lambda y: y.cast("int"))
+    several = F.size(years) > 1
+    author = _first_of(text, r"\b(?:with|of|by|for)\s+(\p{Lu}[\p{L}'-]+(?:\s+\p{Lu}[\p{L}'-]+)*)", 1)
+    concept = _first_of(text, r"(?i)\b(?:of|on|about|to|around)\s+([\p{L}][\p{L} -]{2,29}?)(?=\s+(?:evolv|chang|develop|progress|emerg|from|since|over|between|by|with|in)\p{L}*\b|\s*[?.!,]|\s*$)", 1)
+    return F.struct(author.alias("author"), concept.alias("concept"), F.when(several, F.element_at(years, 1)).alias("start_year"), F.when(several, F.element_at(years, -1)).alias("end_year"))
+
+
+def collection_parameters(text: Column) -> Column:
+    """A struct of name (in lower case: what is called or named so, else what follows into, to, from, in or of), keys of items, limit (a number beside recent, latest or last)."""
+    called = _first_of(text, rf"(?i)\b(?:called|named)\s+{NAMED}", 3)
+    there = _first_of(text, rf"(?i)\b(?:into|to|from|in|of)\s+(?:the\s+|my\s+)?(?:collection\s+)?{NAMED}", 3)
+    limit = _first_of(text, r"(?i)\b([0-9]{1,4})\s+(?:most\s+)?(?:recent|latest|last)\b|\b(?:recent|latest|last)\s+([0-9]{1,4})\b", 2).cast("int")
+    return F.struct(F.lower(F.coalesce(called, there)).alias("name"), F.regexp_extract_all(text, F.lit(ITEM_KEY), F.lit(1)).alias("keys"), limit.alias("limit"))
+
+
+def tag_parameters(text: Column) -> Column:
+    """A struct of tags (in lower case: names after tag or tags, with more after commas or and) and keys of items."""
+    run = F.regexp_extract(text, rf"(?i)\btags?\s+((?:{NAMED}(?:\s*,\s*(?:and\s+)?|\s+and\s+(?=[\"'])))*{NAMED})", 1)
+    words = F.regexp_extract_all(run, F.lit(r"""("[^"]+"|'[^']+'|[\p{L}\p{N}_-]+)"""), F.lit(1))
+    tags = F.transform(F.filter(words, lambda w: F.lower(w) != "and"), lambda w: F.lower(F.regexp_replace(w, "[\"']", "")))
+    return F.struct(tags.alias("tags"), F.regexp_extract_all(text, F.lit(ITEM_KEY), F.lit(1)).alias("keys"))
+
+
 def years(text: str) -> tuple[int, int] | None:
     found = [int(y) for y in re.findall(r"\b((?:19|20)\d\d)\b", text)]
     return (min(found), max(found)) if found else None

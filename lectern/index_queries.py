@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions import understanding as ask
 from lectern.operators import graph_store, lexical, lexical_index, vector, vector_index
+from lectern.plans.explore import explored
 from lectern.plans.search import Search
-from lectern.registry import COSINE, ORACLE_SQL, POSTINGS, STOP, TOP, VECTORS, query
+from lectern.registry import CONCEPT, CONCEPTS, COSINE, ITEMS, ORACLE_SQL, PAPERS, POSTINGS, STOP, TOP, VECTORS, YEARS, _knn, query
 from lectern.sources.catalog import Catalog
 from lectern.storage import folder
 from lectern.streaming import ingest, update
@@ -200,3 +202,48 @@ def update_sinks(c: Catalog) -> DataFrame:
     papers = store.read("nodes").where("label = 'Paper'").select(F.col("key").cast("long").alias("item_key"), F.lit(True).alias("__there"))
     rows = store.read("items").select("item_key", "digest").join(count("chunks"), "item_key", "left").join(count("vectors"), "item_key", "left").join(papers, "item_key", "left")
     return rows.select("item_key", "digest", "chunks", "vectors", F.coalesce("__there", F.lit(False)).alias("in_graph"))
+
+
+# Searches and explorations as a whole
+
+REQUEST = "thor and ther ing"
+
+
+@query("full_search", f"""WITH {POSTINGS}, {ITEMS}, parts AS (SELECT * FROM (VALUES ('0', 'thor'), ('1', 'ther ing')) v(list, q)),
+asked AS (SELECT list, term, count(*) AS qtf FROM (SELECT list, unnest(regexp_extract_all(lower(q), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM parts) WHERE term NOT IN ({STOP}) GROUP BY ALL),
+l AS (SELECT list, id, round(sum(tf * idf * qtf * idf), 4) AS score FROM p JOIN voc USING (term) JOIN asked USING (term) GROUP BY ALL), r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY list ORDER BY score DESC, id) AS rank FROM l) WHERE rank <= {4 * TOP}),
+f AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, round(sum(score / rank), 4) AS score FROM r GROUP BY id)), o AS (FROM f WHERE rank <= {2 * TOP}), q AS (SELECT count(*) AS n, max(score) AS top FROM o)
+SELECT id AS item_key, round(1.0 / (60 + rank), 6)::DOUBLE AS score, rank, 'decomposed' AS backends, 1::BIGINT AS n_backends, CASE WHEN n >= 10 AND top >= 0.7 THEN 'high' WHEN n >= 5 AND top >= 0.6 THEN 'medium' ELSE 'low' END AS confidence, least(1.0, n / 10.0)::DOUBLE AS coverage, title, publication FROM o, q LEFT JOIN it ON id = item_key WHERE rank <= {TOP}""")
+def full_search(c: Catalog) -> DataFrame:
+    return Search(c).full(REQUEST, limit=TOP)
+
+
+@query("explored_by_mode", f"""WITH {CONCEPTS}, {PAPERS}, {VECTORS}
+SELECT 'temporal' AS strategy, year::VARCHAR AS id, count(DISTINCT paper)::DOUBLE AS score FROM e JOIN pa ON src = paper WHERE dst = {CONCEPT} AND year BETWEEN {YEARS[0]} AND {YEARS[1]} GROUP BY year
+UNION ALL SELECT * FROM (SELECT 'venue', venue, count(*)::DOUBLE AS score FROM pa WHERE field = 'ASIA' GROUP BY venue ORDER BY score DESC, venue LIMIT {TOP}) UNION ALL SELECT 'content_similarity', id::VARCHAR, similarity FROM ({_knn(7)})""")
+def explored_by_mode(c: Catalog) -> DataFrame:
+    rows = [explored(c, "temporal", CONCEPT, years=YEARS), explored(c, "venue", n=TOP, field="ASIA"), explored(c, "content_similarity", 7, n=TOP)]
+    texts = [r.withColumn("id", F.col("id").cast("string")) for r in rows]
+    return texts[0].unionByName(texts[1]).unionByName(texts[2])
+
+
+ORDERED = "o AS (SELECT o_orderkey AS key, year(o_orderdate) AS y, c_mktsegment AS segment, chr(65 + (o_orderkey % 26)::INT) || 'ann' AS name, 'KEY' || lpad((o_orderkey % 100000)::VARCHAR, 5, '0') AS item FROM orders JOIN customer ON o_custkey = c_custkey)"
+
+
+@query("kind_parameters", f"""WITH {ORDERED} SELECT key, 'graph' AS kind, name || ' Lee' AS who, 'memory for ' || lower(segment) AS what, y::VARCHAR AS low, '2003' AS high, NULL::VARCHAR AS keys FROM o WHERE key % 3 = 0
+UNION ALL SELECT key, 'collection', NULL, lower(segment) || ' things', (key % 40 + 1)::VARCHAR, NULL, item || ',ABCD1234' FROM o WHERE key % 3 = 1 UNION ALL SELECT key, 'tag', NULL, lower(segment) || ',to read,' || lower(name), NULL, NULL, item FROM o WHERE key % 3 = 2""")
+def kind_parameters(c: Catalog) -> DataFrame:
+    """Parameters of requests by kind, against what the requests were made from."""
+    col, text = F.col, lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in x])
+    rows = c.table("orders").join(c.table("customer"), col("o_custkey") == col("c_custkey"))
+    rows = rows.select(
+        col("o_orderkey").alias("key"), F.year("o_orderdate").alias("y"), F.lower("c_mktsegment").alias("segment"), F.concat(F.char((65 + col("o_orderkey") % 26).cast("int")), F.lit("ann")).alias("name"),
+        F.concat(F.lit("KEY"), F.lpad((col("o_orderkey") % 100000).cast("string"), 5, "0")).alias("item"),
+    )
+    graphs = rows.where("key % 3 = 0").select("key", ask.graph_parameters(text("How did work on memory for ", F.lower("segment"), " change from ", col("y"), " to 2003 by ", col("name"), " Lee?")).alias("p"))
+    shelves = rows.where("key % 3 = 1").select("key", ask.collection_parameters(text("put the ", col("key") % 40 + 1, " latest papers ", col("item"), " and ABCD1234 into the collection \"", col("segment"), " Things\"")).alias("p"))
+    tags = rows.where("key % 3 = 2").select("key", ask.tag_parameters(text("add tags ", col("segment"), ", 'to read' and \"", col("name"), "\" to ", col("item"))).alias("p"))
+    none = F.lit(None).cast("string")
+    one = graphs.select("key", F.lit("graph").alias("kind"), col("p.author").alias("who"), col("p.concept").alias("what"), col("p.start_year").cast("string").alias("low"), col("p.end_year").cast("string").alias("high"), none.alias("keys"))
+    two = shelves.select("key", F.lit("collection"), none, "p.name", col("p.limit").cast("string"), none, F.array_join("p.keys", ","))
+    return one.union(two).union(tags.select("key", F.lit("tag"), none, F.array_join("p.tags", ","), none, none, F.array_join("p.keys", ",")))

@@ -18,10 +18,12 @@ from lectern.sources.catalog import Catalog
 STRIPPED = r"trim(regexp_replace(regexp_replace(regexp_replace({0}, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\n\r\f]+', ' ', 'g'))"
 
 
-@query("document_texts", f"""WITH {ITEMS}, n AS (SELECT conv_id AS item_key, max(text) AS note FROM conversations GROUP BY conv_id)
+@query("document_texts", f"""WITH {ITEMS}, n AS (SELECT conv_id AS item_key, string_agg(text, ' ' ORDER BY turn) AS note FROM conversations GROUP BY conv_id)
 SELECT item_key, concat_ws(' ', nullif(trim(title), ''), nullif(trim(author), ''), nullif(trim(substring(body, 1, 200)), ''), nullif(trim(publication), ''), nullif(trim(concat_ws(' ', item_type, publication)), ''), nullif({STRIPPED.format('note')}, ''), nullif(trim(body), '')) AS text FROM it LEFT JOIN n USING (item_key)""")
 def document_texts(c: Catalog) -> DataFrame:
-    notes = c.children().groupBy(F.col("parent_key").alias("item_key")).agg(F.max("body").alias("note"))
+    """Items with all their notes, in order."""
+    listed = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    notes = c.table("conversations").groupBy(F.col("conv_id").alias("item_key")).agg(F.array_join(F.transform(listed, lambda x: x["text"]), " ").alias("note"))
     rows, col = c.items().join(notes, "item_key", "left"), F.col
     made = t.document_text(col("title"), col("author"), F.substring("body", 1, 200), col("publication"), F.array_compact(F.array("item_type", "publication")), col("note"), col("body"))
     return rows.select("item_key", made.alias("text"))
@@ -195,13 +197,17 @@ def points_deleted(c: Catalog) -> DataFrame:
     return indexing.without_keys(c.vectors(), c.table("labels").where("toxic = 1").select(F.col("doc_id").alias("id")), "id").select("id")
 
 
-@query("cache_maintained", "WITH n AS (SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_type <> 'error' AND event_id % 7 <> 0) WHERE r = 1) SELECT user_id, event_id FROM n WHERE ts >= TIMESTAMP '2024-01-10' AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 7 = 0 AND event_type = 'error')")
+@query("cache_maintained", """WITH e AS (SELECT user_id, event_id, ts FROM events WHERE event_type <> 'error' AND event_id % 7 <> 0),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM e WHERE event_id % 3 = 0) WHERE r = 1), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM e WHERE event_id % 5 = 0) WHERE r = 1),
+p AS (SELECT user_id, event_id, ts FROM n UNION ALL SELECT user_id, event_id, ts FROM o WHERE user_id NOT IN (SELECT user_id FROM n))
+SELECT user_id, event_id FROM p WHERE ts >= TIMESTAMP '2024-01-10' AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 49 = 0 AND event_type = 'error')""")
 def cache_maintained(c: Catalog) -> DataFrame:
-    """Parsed rows are put by key, those of failed events invalidated, those before a date cleared."""
+    """Parsed rows are put by key onto those that are there, those of failed events invalidated, those before a date cleared."""
     rows = c.table("events").select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("made"))
-    new = indexing.last_rows(rows.where("event_type <> 'error' AND event_id % 7 <> 0"), "user_id", ["made", "event_id"])
-    put = indexing.cache_put(new.limit(0), new, "user_id")
-    valid = indexing.without_keys(put, rows.where("event_id % 7 = 0 AND event_type = 'error'"), "user_id")
+    good = rows.where("event_type <> 'error' AND event_id % 7 <> 0")
+    cache = indexing.last_rows(good.where("event_id % 3 = 0"), "user_id", ["made", "event_id"])
+    put = indexing.cache_put(cache, indexing.last_rows(good.where("event_id % 5 = 0"), "user_id", ["made", "event_id"]), "user_id")
+    valid = indexing.without_keys(put, rows.where("event_id % 49 = 0 AND event_type = 'error'"), "user_id")
     return indexing.cache_cleared(valid, F.to_timestamp(F.lit("2024-01-10"))).select("user_id", "event_id")
 
 
@@ -233,10 +239,22 @@ def graph_available(c: Catalog) -> DataFrame:
     return graph.available(c.papers())
 
 
-@query("matched_chunks", f"WITH {CHUNKS} SELECT item_key || '-' || chunk_id AS text_id, item_key || '-' || min(chunk_id) OVER (PARTITION BY item_key, chunk) AS chunk, 1 AS tier FROM ch")
+@query(
+    "matched_chunks",
+    rf"""WITH {CHUNKS}, s AS (SELECT item_key AS paper, chunk_id AS position, item_key || '-' || chunk_id AS chunk, chunk AS body FROM ch),
+t AS (SELECT paper, CASE WHEN k = 2 THEN position + 1000 ELSE position END AS position, chunk AS text_id, CASE k WHEN 0 THEN body WHEN 1 THEN substring(body, 1, 150) || ' cut' ELSE substring(body, 1, 300) || ' and more' END AS text FROM (SELECT *, (paper + position) % 3 AS k FROM s)),
+a AS (SELECT text_id, min(chunk) AS chunk, 1 AS tier FROM t JOIN s USING (paper) WHERE text = body GROUP BY text_id), l AS (SELECT * FROM t WHERE text_id NOT IN (SELECT text_id FROM a)),
+b AS (SELECT text_id, min(chunk) AS chunk, 2 AS tier FROM l JOIN s USING (paper, position) WHERE contains(body, substring(text, 1, 100)) GROUP BY text_id),
+w AS (SELECT text_id, chunk, len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '\s+')), list_distinct(regexp_split_to_array(lower(body), '\s+')))) / len(list_distinct(regexp_split_to_array(lower(text), '\s+'))) AS share FROM l JOIN s USING (paper) WHERE text_id NOT IN (SELECT text_id FROM b) AND contains(body, substring(text, 1, 200)))
+FROM a UNION ALL FROM b UNION ALL SELECT text_id, arg_min(chunk, struct_pack(s := -share, c := chunk)), 3 FROM w WHERE share > 0.5 GROUP BY text_id""",
+)
 def matched_chunks(c: Catalog) -> DataFrame:
-    rows = c.chunks().select(F.concat_ws("-", "item_key", "chunk_id").alias("name"), F.col("item_key").alias("paper"), F.col("chunk_id").alias("position"), F.col("chunk").alias("body"))
-    return graph.matched_chunks(rows.withColumnRenamed("name", "chunk"), rows.withColumnsRenamed({"name": "text_id", "body": "text"}))
+    """Texts that are chunks, that begin like the chunk of their place, or like another one."""
+    rows = c.chunks().select(F.concat_ws("-", "item_key", "chunk_id").alias("chunk"), F.col("item_key").alias("paper"), F.col("chunk_id").alias("position"), F.col("chunk").alias("body"))
+    kind = (F.col("paper") + F.col("position")) % 3
+    text = F.when(kind == 0, F.col("body")).when(kind == 1, F.concat(F.substring("body", 1, 150), F.lit(" cut"))).otherwise(F.concat(F.substring("body", 1, 300), F.lit(" and more")))
+    texts = rows.select(F.col("chunk").alias("text_id"), "paper", F.when(kind == 2, F.col("position") + 1000).otherwise(F.col("position")).alias("position"), text.alias("text"))
+    return graph.matched_chunks(rows, texts)
 
 
 @query("explored_paper", f"""WITH RECURSIVE {CONCEPTS}, {CITES.replace('e AS', 'ci AS', 1)}, u AS (SELECT src, dst FROM ci UNION SELECT dst, src FROM ci), w AS (SELECT {PAPER}::BIGINT AS id, 0 AS hops UNION SELECT u.dst, hops + 1 FROM w JOIN u ON u.src = w.id WHERE hops < 2)

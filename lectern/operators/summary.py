@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators.library import equals, top_passages
@@ -68,12 +68,10 @@ def top_counts(rows: DataFrame, by: str, n: int) -> DataFrame:
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), by).limit(n)
 
 
-def grouped_children(children: DataFrame, listed: int = 50) -> DataFrame:
-    """parent_key, item_type, n, keys: an item's children by type, the first `listed` keys of each, which is a row's size."""
-    order = Window.partitionBy("parent_key", "item_type").orderBy("key")
-    few = children.withColumn("__i", F.row_number().over(order)).where(F.col("__i") <= listed)
-    keys = few.groupBy("parent_key", "item_type").agg(F.array_join(F.array_sort(F.collect_list("key")), ",").alias("keys"))
-    return children.groupBy("parent_key", "item_type").agg(F.count(F.lit(1)).alias("n")).join(keys, ["parent_key", "item_type"])
+def grouped_children(children: DataFrame) -> DataFrame:
+    """parent_key, item_type, n, keys: an item's children by type, all of their keys."""
+    keys = F.array_join(F.array_sort(F.collect_list("key")), ",").alias("keys")
+    return children.groupBy("parent_key", "item_type").agg(F.count(F.lit(1)).alias("n"), keys)
 
 
 def migration_counts(papers: DataFrame, has_chunk: DataFrame, from_chunk: DataFrame, edges: DataFrame) -> DataFrame:

@@ -72,6 +72,29 @@ class Search:
             rows = stored(rows.unionByName(self.lists(rest, asked, seed, 2 * limit)))
         return fusion.rrf(rows, limit, list_weights=weights)
 
+    def full(self, text: str, seed: int | None = None, limit: int = 10) -> DataFrame:
+        """item_key, score, rank, backends, n_backends, title, publication, confidence, coverage of one request: a search as a whole.
+
+        A request of several parts has these searched apart and merged, beside what the backends of its intent find; lists
+        are fused by reciprocal rank, each hit with the lists it came from and its item. Confidence and coverage are
+        those of the parts' or the text's own list; low confidence asks the backends that are left.
+        """
+        intent, _ = ask.intent(text)
+        names = BACKENDS[intent]
+        if len(ask.decompose(text)) > 1:
+            found = self.decomposed(text, 2 * limit)
+            own = found.select(F.lit("decomposed").alias("list"), "id", F.col("score").cast("double").alias("score"), F.col("rank").cast("long").alias("rank"))
+        else:
+            own = self.backend("semantic", ask.expand_by_quality(text), seed, 2 * limit)
+        own = stored(own)
+        quality = hits.coverage_quality(own)
+        asked = ALL if quality.first().escalate else names
+        others = [n for n in asked if n != "semantic"]
+        rows = stored(own.unionByName(self.lists(tuple(others), text, seed, 2 * limit)) if others else own)
+        fused = fusion.rrf(rows, limit).drop("found_in").join(hits.provenance(rows), "id").withColumnRenamed("id", "item_key")
+        told = fused.crossJoin(F.broadcast(quality.select("confidence", "coverage")))
+        return hits.enriched(told, self.catalog.items().select("item_key", "title", "publication"))
+
     def _sparse(self, requests: DataFrame, n: int) -> DataFrame:
         index = self.catalog.lexical_index()
         return lexical.sparse_searches(index.postings, index.vocabulary, requests, n)

@@ -617,7 +617,7 @@ def semantic_chunks(c: Catalog) -> DataFrame:
     return ranked.select(t.parent_key(F.col("id"), F.lit(None).cast("string")).alias("item_key"), "id", "similarity", "rank")
 
 
-@query("grouped_children", "SELECT conv_id AS parent_key, role AS item_type, count(*) AS n, array_to_string(list_slice(list_sort(list(conv_id || '-' || turn)), 1, 50), ',') AS keys FROM conversations GROUP BY conv_id, role")
+@query("grouped_children", "SELECT conv_id AS parent_key, role AS item_type, count(*) AS n, array_to_string(list_sort(list(conv_id || '-' || turn)), ',') AS keys FROM conversations GROUP BY conv_id, role")
 def grouped_children(c: Catalog) -> DataFrame:
     return summary.grouped_children(c.children())
 
