@@ -88,6 +88,27 @@ def test_page_cases(spark):
     assert html_text.extracted(rows.limit(0)).count() == 0
 
 
+LONG = "words of a story that goes on and on " * 12
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p>one</p><p><a href=x>a linked paragraph here</a></p><p>two</p></article>", ["one", "a linked paragraph here", "two"]),
+        (f"<article><h2>References</h2><ul><li><a href=1>First paper</a></li><li><a href=2>Second paper</a></li></ul><p>{LONG}</p></article>", ["References", "First paper", "Second paper", LONG.strip()]),
+        (f'<article><p>{LONG}</p><blockquote id="comment">A quoted remark.</blockquote><p>More text.</p></article>', [LONG.strip(), "A quoted remark.", "More text."]),
+        (f'<nav><a href=1>Home</a></nav><div class="legal"><h1>Terms</h1><p>{LONG}</p></div>', ["Terms", LONG.strip()]),
+        (f'<nav><a href=1>Home</a></nav><div class="story login-required"><h1>Story</h1><p>{LONG}</p></div>', ["Story", LONG.strip()]),
+        (f'<nav><a href=1>Home</a></nav><div class="sidebar"><p>{LONG}</p></div>', [LONG.strip()]),
+        (f"<main><p>Short intro.</p></main><div><h1>Title of it</h1><p>{LONG}</p></div>", ["Short intro.", "Title of it", LONG.strip()]),
+        (f'<article><p>{LONG}</p><div class="comments"><p>Readers say hello.</p></div></article><div class="ad">Buy.</div><footer>c</footer>', [LONG.strip()]),
+        ('<div class="site-header"><p>Name</p></div><nav><a href=1>Home</a></nav>', [""]),
+    ],
+)
+def test_article_text_stays(page, want):
+    assert html_text.main_text(f"<html><body>{page}</body></html>", html_text.train()).split("\n") == want
+
+
 def test_pages_against_their_articles(spark):
     import html
 
@@ -120,7 +141,7 @@ def test_tree_looks_at_neighbours():
     soup += "<div>The heading</div><div>" + "Many words of running text stand here. " * 5 + "</div><div><a href=e>More of this</a></div><div><a href=f>Imprint</a></div>"
     got = html_text.main_text(soup, tree).split("\n")
     assert got[0] == "The heading" and len(got) == 2
-    alone = [(*r[:2], *[0] * 4, r[6], r[7]) for r in html_text.LABELLED]
+    alone = [(*r[:2], *[0] * 4, *r[6:]) for r in html_text.LABELLED]
     assert "Topics" in html_text.main_text(soup, html_text.train(tuple(alone)))
 
 
