@@ -19,11 +19,14 @@ SENTENCE_END = r"[.!?:;\x{2026}\x{037E}\x{0589}\x{061B}\x{061F}\x{06D4}\x{0964}\
 PROSE_WORDS = 8
 #: Separators between the entries of a menu or breadcrumb line, of which a line has two.
 SEPARATOR = r"[|\x{BB}\x{203A}\x{2022}\x{B7}]"
-#: Phrases of notices, in lower case.
+#: Phrases of notices in English, German, French and Spanish, in lower case.
 BOILERPLATE = (
     "all rights reserved", "javascript is", "javascript must be", "cookie policy", "cookies policy", "cookie settings", "cookies settings", "cookie notice", "cookies notice",
     "privacy policy", "terms of use", "terms of service", "lorem ipsum", "sign in to", "sign in for", "sign up to", "sign up for", "subscribe to our", "click here to",
     "share this", "share on ", "powered by ",
+    "alle rechte vorbehalten", "javascript ist", "javascript muss", "akzeptieren sie die cookies", "cookie-einstellungen", "cookie-richtlinie", "datenschutzerklärung", "nutzungsbedingungen", "melden sie sich an", "newsletter abonnieren", "klicken sie hier",
+    "tous droits réservés", "javascript est désactivé", "accepter les cookies", "politique de confidentialité", "politique de cookies", "conditions d'utilisation", "inscrivez-vous à", "abonnez-vous à", "cliquez ici",
+    "todos los derechos reservados", "javascript está desactivado", "aceptar las cookies", "política de privacidad", "política de cookies", "términos de uso", "condiciones de uso", "suscríbete a", "regístrate para", "haz clic aquí",
 )
 #: Symbol characters per word, and runs of exclamation marks per word, from which a line is noise.
 NOISE_PER_WORD = 0.3
@@ -118,7 +121,7 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-PHRASES = " OR ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)
+PHRASES = " OR ".join("contains(lower(x), '" + p.replace("'", "''") + "')" for p in BOILERPLATE)
 ORACLE_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents

@@ -193,3 +193,12 @@ def test_quality_equals_sql_on_odd_texts(spark):
     assert got == sorted(con.execute(f"SELECT {columns} FROM ({quality.ORACLE_SQL})").fetchall())
     kept = {r[0] for r in got if r[-1]}
     assert {1, 3} <= kept
+
+
+def test_notices_of_four_languages(spark):
+    prose = "This is a sentence of the text that says something of its own."
+    notices = ["All rights reserved.", "Alle Rechte vorbehalten.", "Bitte akzeptieren Sie die Cookies.", "Tous droits réservés.", "Veuillez accepter les cookies.", "Todos los derechos reservados.", "Lea nuestra política de privacidad."]
+    df = spark.createDataFrame([(1, "\n".join([prose, *notices, prose + " More."])), (2, "\n".join(notices))], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.clean_lines(df).collect()}
+    assert got[1].clean_text == f"{prose}\n{prose} More." and got[1].n_failed_lines == len(notices)
+    assert not got[2].kept and got[2].clean_text == ""
