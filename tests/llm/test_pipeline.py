@@ -58,7 +58,7 @@ def test_packing_stage(stages):
 
 def test_registered():
     names = entry.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {name[: name.index("_") + 1] for name in queries.QUERIES}
+    assert {f"op{n}_" for n in range(1, 14)} == {name[: name.index("_") + 1] for name in queries.QUERIES}
     assert names["pipeline"] is corpus_pipeline.run and set(queries.QUERIES) <= set(names)
 
 
