@@ -122,7 +122,12 @@ class LexicalIndex:
             newest = self._live_places(before).join(small(names, len(gone), 256), "file", "left_semi")
             lost = newest.select("id").join(placed, "id", "left_anti")
         dead = stored(lost.withColumn("gone", F.lit(True)).unionByName(differing.where("known").select("id", F.lit(False).alias("gone"))))
-        texts = read.join(differing.select("id", "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id"])
+        # texts are moved only where ids repeat, or where more rows changed in read files than can be told to every task
+        texts, n_new = read, differing.count()
+        if read.count() != placed.count():
+            texts = read.join(placed.select("id", "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id"])
+        if before["segments"]:
+            texts = texts.join(small(differing.select("id", "digest"), n_new, 64), ["id", "digest"], "left_semi")
         made = texts.select("id", F.explode(terms(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
         self._write(segment, "postings", made.repartitionByRange("term", "id").sortWithinPartitions("term", "id"))
         held = self._table(segment, "postings")
