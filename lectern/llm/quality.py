@@ -19,6 +19,8 @@ SENTENCE_END = r"[.!?:;\x{2026}\x{037E}\x{0589}\x{061B}\x{061F}\x{06D4}\x{0964}\
 PROSE_WORDS = 8
 #: Separators between the entries of a menu or breadcrumb line, of which a line has two.
 SEPARATOR = r"[|\x{BB}\x{203A}\x{2022}\x{B7}]"
+#: Words of a notice, at most: a longer line that holds such a phrase is a paragraph that speaks of it.
+NOTICE_WORDS = 30
 #: Phrases of notices in English, German, French and Spanish, in lower case.
 BOILERPLATE = (
     "all rights reserved", "javascript is", "javascript must be", "cookie policy", "cookies policy", "cookie settings", "cookies settings", "cookie notice", "cookies notice",
@@ -74,15 +76,16 @@ def line_fails(line: Column) -> Column:
     noise = F.regexp_count(line, F.lit(rf"{SYMBOL}|!!+"))
     capitals = F.length(F.regexp_replace(line, r"\P{Lu}+", ""))
     letters = F.length(F.regexp_replace(line, r"\P{L}+", ""))
+    notice = _let(F.lower(line), lambda low: reduce(or_, [F.contains(low, F.lit(p)) for p in BOILERPLATE]))
     by_words = lambda words: (
         (noise > NOISE_PER_WORD * words)
         | ((words >= PROSE_WORDS) & ~F.rtrim(line, F.lit(BLANKS)).rlike(SENTENCE_END))
         | ((words >= 3) & (capitals > 0.7 * letters))
+        | ((words <= NOTICE_WORDS) & notice)
     )
     return (
         (F.regexp_count(line, F.lit(SEPARATOR)) >= 2)
         | _let(F.regexp_count(line, F.lit(rf"{INK}+")), by_words)
-        | _let(F.lower(line), lambda low: reduce(or_, [F.contains(low, F.lit(p)) for p in BOILERPLATE]))
     )
 
 
@@ -151,7 +154,7 @@ WITH d AS (
     length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) + len(regexp_extract_all(x, '!!+')) > 0.3 * n
     OR (n >= 3 AND length(regexp_replace(x, '[^\p{{Lu}}]', '', 'g')) > 0.7 * length(regexp_replace(x, '[^\p{{L}}]', '', 'g')))
     OR length(x) - length(regexp_replace(x, '[|\x{{BB}}\x{{203A}}\x{{2022}}\x{{B7}}]', '', 'g')) >= 2
-    OR {PHRASES}
+    OR (n <= {NOTICE_WORDS} AND ({PHRASES}))
     OR (n >= 8 AND NOT regexp_matches(regexp_replace(x, '[\x20\x09-\x0D]+\z', ''), '{SENTENCE_END.replace("'", "''")}'))
   ) GROUP BY rid
 )
