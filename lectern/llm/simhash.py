@@ -23,6 +23,16 @@ CHUNK = 1 << 16
 TILE = 256
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit hashes have each bit set, least bit first."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The fingerprint of n hashes with these bit_counts(): bit i is 1 if over half of them have it."""
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+
+
 def simhash(data: bytes, words: int = WORDS) -> int:
     """The fingerprint of UTF-8 bytes: bit i is 1 if set in the XXH64 of over half the shingles, repeats included.
 
@@ -40,8 +50,8 @@ def simhash(data: bytes, words: int = WORDS) -> int:
     digest, seed, total = xxhash.xxh64_intdigest, SEED, np.zeros(BITS, np.int64)
     for at in range(0, n, CHUNK):
         hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[at : at + CHUNK], stops[at : at + CHUNK], strict=True)], "<u8")
-        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+        total += bit_counts(hashes)
+    return majority(total, n)
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,6 +124,12 @@ def linked(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return work.mapInArrow(verify, "a long, b long")
 
 
+def rooted(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """A stored table of distinct fingerprints fp (longs) with root: the least fingerprint reachable over pairs within distance."""
+    groups = components(linked(distinct.select(F.col("fp").alias("id"), "fp"), distance))
+    return distinct.join(groups, distinct["fp"] == groups["node"], "left").select(*distinct.columns, F.coalesce("component", "fp").alias("root"))
+
+
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -129,9 +145,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, words: int = WORD
     """
     prints = stored(fingerprints(docs, words, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "fp"))
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))
-    groups = components(linked(distinct.select(F.col("fp").alias("id"), "fp"), distance))
-    rooted = stored(distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "id", F.col("n").alias("rows"), F.coalesce("component", "fp").alias("root")))
-    least = stored(rooted.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("n")))
-    named = joined(rooted, least, ["root"]).select("fp", F.col("rows").alias("n"), "component_id")
+    found = stored(rooted(distinct, distance).withColumnRenamed("n", "rows"))
+    least = stored(found.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    named = joined(found, least, ["root"]).select("fp", F.col("rows").alias("n"), "component_id")
     found = joined(prints, stored(named), ["fp"], "left")
     return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")

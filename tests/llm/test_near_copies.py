@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from lectern.llm import near_copies
+from lectern.llm import near_copies, simhash
 
 
 def test_stage_finds_copies_at_the_similarity(spark):
@@ -39,3 +39,23 @@ def test_rows_that_share_an_id_are_told_apart(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = corpus_pipeline.near_deduplication(spark, docs, "")
     assert kept.columns == docs.columns and sorted((r.lang for r in kept.collect())) == ["a", "b", "c", "e"]
+
+
+def test_fingerprints_alone_find_close_copies(spark, monkeypatch):
+    """Without shingle keys the fingerprints still link what they are near enough for, equal ones included, and nothing that is not similar."""
+    rng = random.Random(7)
+    long = [f"w{rng.randrange(5000)}" for _ in range(900)]
+    texts = [" ".join(long), " ".join([*long[:-1], "x"]), " ".join([*long[:-1], "y"]), " ".join(reversed(long)), "other text"]
+    prints = [near_copies.fingerprint(near_copies.shingle_set(t.encode())) for t in texts]
+    assert all((prints[0] ^ p).bit_count() <= simhash.DISTANCE for p in prints[1:3])
+    monkeypatch.setattr(near_copies, "keys", lambda held: [])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4}
+
+
+def test_fingerprint_keys(spark):
+    rows = [(10, 0), (11, 0), (12, 0b1111), (13, 0b11111111), (14, -1), (15, -1 << 32), (16, -1), (17, 1 << 40)]
+    groups = {}
+    for r in near_copies.fingerprint_keys(spark.createDataFrame(rows, "line long, fp long")).collect():
+        groups.setdefault(r.key, set()).add(r.line)
+    assert sorted(map(sorted, groups.values())) == [[10, 11, 12, 13, 17], [14, 16]]
