@@ -176,12 +176,14 @@ def similar_groups(members: DataFrame, texts: DataFrame, sets=shingles) -> DataF
     grouped = stored(grouped.select("key", "least", "line", "group"))
     others = grouped.where("line <> least").groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("n"))
     undecided = stored(others.where("lo <> hi").select("key", "n"))
-    if undecided.isEmpty():
+    left = undecided.count()
+    if not left:
         return groups
-    held = grouped.where("line <> least").join(small(undecided, undecided.count(), 16), "key").select("key", "n", "line", "group")
+    held = grouped.where("line <> least").join(small(undecided, left, 16), "key").select("key", "n", "line", "group")
     keys = held.groupBy("line").agg(F.sort_array(F.collect_set("key")).alias("keys"))
     held = held.join(stored(keys.join(texts, "line")), "line")
-    return components(stored(links.union(_small_links(held, sets)).union(_tiled_links(held, sets))))
+    stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return components(stored(stars.union(_small_links(held, sets)).union(_tiled_links(held, sets))))
 
 
 def with_row_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,9 +233,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def with_copies(rows: DataFrame) -> DataFrame:
     """rows with __copy: whether an equal one (by __r1 and __r2) comes before; rows that have equals are stored to be told apart."""
     several = stored(rows.groupBy("__r1", "__r2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__r1", "__r2"))
-    if several.isEmpty():
+    n = several.count()
+    if not n:
         return rows.withColumn("__copy", F.lit(False))
-    several = small(several, several.count(), 16)
+    several = small(several, n, 16)
     equal = stored(rows.join(several, ["__r1", "__r2"], "left_semi").withColumn("__at", F.monotonically_increasing_id()))
     first = stored(equal.groupBy("__r1", "__r2").agg(F.min("__at").alias("__at")).select("__at", F.lit(False).alias("__copy")))
     told = equal.join(first, "__at", "left").withColumn("__copy", F.coalesce("__copy", F.lit(True))).drop("__at")

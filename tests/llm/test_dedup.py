@@ -210,3 +210,13 @@ def test_hot_keys_are_sent_to_their_rows(spark, monkeypatch):
         monkeypatch.setattr(scratch, "HOT_ROWS", limit)
         assert sorted(map(tuple, simhash.near_duplicates(df).collect()), key=repr) == expected_components(rows)
         assert sorted(((r.doc_id, r.text) for r in line_dedup.deduplicated(df).collect()), key=repr) == sorted(lines_left(rows), key=repr)
+
+
+def test_stars_need_no_round_of_components(spark, monkeypatch):
+    """Links that are stars already are told by one aggregate; a chain takes rounds and ends in the same table."""
+    rounds, bent = [], components._stars
+    monkeypatch.setattr(components, "_stars", lambda *given: rounds.append(given[1]) or bent(*given))
+    stars = spark.createDataFrame([(5, 1), (1, 6), (6, 1), (9, 8), (3, 3), (None, 4)], "a long, b long")
+    assert sorted(map(tuple, components.components(stars).collect())) == [(1, 1), (3, 3), (5, 1), (6, 1), (8, 8), (9, 8)] and not rounds
+    chain = spark.createDataFrame([(i + 1, i) for i in range(20)] + [(7, 7)], "a long, b long")
+    assert sorted(map(tuple, components.components(chain).collect())) == [(i, 0) for i in range(21)] and rounds
