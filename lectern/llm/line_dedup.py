@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
 from math import log2
 
 from pyspark.sql import Column, DataFrame
@@ -75,7 +76,7 @@ def with_bands(rows: DataFrame, line: str, levels: bytes) -> DataFrame:
     the next ones its next minima. So two lines share a band with about the WIDTH-th power of their similarity,
     and one sorted array gives all bands. Sorted in among the hashes, anchor i has i anchors before it, which tells
     its place in the array without them. Arrays that are used often are columns of their own: they are computed once
-    and searched by compiled code.
+    and searched by compiled code. Bands are named one by one, as a slice in a lambda would copy its whole array.
     """
     anchors = [F.lit(-(1 << 63) + i * ((1 << 64) // BANDS)).cast("long") for i in range(BANDS)]
     rows = rows.withColumn("__sorted", F.sort_array(shingles(F.col(line))))
@@ -86,18 +87,21 @@ def with_bands(rows: DataFrame, line: str, levels: bytes) -> DataFrame:
     level = lambda h: F.ascii(F.substring(F.lit(levels), F.shiftrightunsigned(h, 48).cast("int") + 1, F.lit(1)).cast("string"))
     place = lambda h: F.shiftleft(level(h).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     rows = rows.withColumn("__first", F.when(some, F.slice(F.sort_array(F.transform("__sorted", place)), F.lit(1), prefix_size(F.size("__sorted")))))
-    # "__at" is named twice, so that the plan keeps it as a column instead of searching inside transform()
-    bands = F.when(F.size("__at") > 0, F.transform("__at", lambda at, i: F.xxhash64(F.slice("__longer", at - i, WIDTH), i)))
+    bands = F.array(*[F.xxhash64(F.slice("__longer", F.get("__at", F.lit(i)) - i, F.lit(WIDTH)), F.lit(i)) for i in range(BANDS)])
     prefix = F.transform("__first", lambda h: F.xxhash64(h, F.lit(-1)))
     keys = F.when(few, prefix).when(some, F.concat(prefix, bands)).otherwise(bands)
     return rows.withColumn("keys", keys).drop("__sorted", "__circle", "__longer", "__at", "__first")
 
 
 def similar(a: Column, b: Column) -> Column:
-    """Whether the Jaccard similarity of two arrays of distinct shingle hashes is SIMILARITY or more; sizes too unlike decide at once."""
+    """Whether the Jaccard similarity of two arrays of distinct shingle hashes is SIMILARITY or more; sizes too unlike decide at once.
+
+    n common ones of both sizes' sum are similar if n / (sum - n) >= p / q; in whole numbers n is named once, and no lambda holds it.
+    """
+    p, q = Fraction(str(SIMILARITY)).as_integer_ratio()
     least, most = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
-    jaccard = _let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
-    return (least >= SIMILARITY * most) & (jaccard >= SIMILARITY)
+    common = F.size(F.array_intersect(a, b)).cast("long")
+    return (q * least.cast("long") >= p * most.cast("long")) & ((p + q) * common >= p * (F.size(a) + F.size(b)).cast("long"))
 
 
 def _forest(ms: Column, near) -> Column:
@@ -158,8 +162,9 @@ def _stars(members: DataFrame, texts: DataFrame, sets) -> DataFrame:
     pairs = members.where("line <> least").select(F.col("least").alias("a"), F.col("line").alias("b")).distinct()
     of = lambda end: texts.select(F.col("line").alias(end), F.col("norm").alias(f"norm_{end}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
-    near = _let(F.struct(sets(F.col("norm_a")).alias("a"), sets(F.col("norm_b")).alias("b")), lambda e: similar(e["a"], e["b"]))
-    return both.where(near).select("a", "b")
+    # sets are columns, so that compiled code makes and compares them; a filter would be moved below them and make them again
+    both = both.select("a", "b", sets(F.col("norm_a")).alias("of_a"), sets(F.col("norm_b")).alias("of_b"))
+    return both.select(F.explode(F.when(similar(F.col("of_a"), F.col("of_b")), F.array(F.struct("a", "b")))).alias("e")).select("e.a", "e.b")
 
 
 def similar_groups(members: DataFrame, texts: DataFrame, sets=shingles) -> DataFrame:

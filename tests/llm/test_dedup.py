@@ -220,3 +220,19 @@ def test_stars_need_no_round_of_components(spark, monkeypatch):
     assert sorted(map(tuple, components.components(stars).collect())) == [(1, 1), (3, 3), (5, 1), (6, 1), (8, 8), (9, 8)] and not rounds
     chain = spark.createDataFrame([(i + 1, i) for i in range(20)] + [(7, 7)], "a long, b long")
     assert sorted(map(tuple, components.components(chain).collect())) == [(i, 0) for i in range(21)] and rounds
+
+
+def test_sets_are_compared_by_compiled_code(spark):
+    """No lambda holds a comparison or a slice of a set, which would be interpreted and copy it; the least similarity counts."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    sets = spark.createDataFrame([(list(range(4)), list(range(5))), (list(range(9)), list(range(1, 10))), (list(range(8)), list(range(1, 9))), (list(range(79)), list(range(100)))], "a array<long>, b array<long>")
+    compared = sets.select(line_dedup.similar(sets.a, sets.b).alias("is"))
+    assert [r["is"] for r in compared.collect()] == [True, True, False, False] and "lambda" not in plan(compared)
+    texts = spark.createDataFrame([(1, "some line of text"), (2, "some line of text "), (3, "another one of it")], "line long, norm string")
+    members = spark.createDataFrame([(7, 1, 1), (7, 1, 2), (7, 1, 3)], "key long, least long, line long")
+    stars = line_dedup._stars(members, texts, line_dedup.shingles)
+    assert [tuple(r) for r in stars.collect()] == [(1, 2)] and not re.search(r"lambdafunction\([^\n]*array_intersect", plan(stars))
+    rng = random.Random(6)
+    lines = spark.createDataFrame([("".join(rng.choice("abcdefgh ") for _ in range(300)),)], "norm string")
+    banded = line_dedup.with_bands(lines, "norm", bytes(1 << 16))
+    assert len(set(banded.first()["keys"])) == line_dedup.BANDS and "lambdafunction(xxhash64(slice(" not in plan(banded)
