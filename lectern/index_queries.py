@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import understanding as ask
-from lectern.operators import graph_store, lexical, lexical_index, vector, vector_index
+from lectern.operators import graph_store, lexical, lexical_index, vector_blocks, vector_index
 from lectern.plans.explore import explored
 from lectern.plans.search import Search
 from lectern.registry import CONCEPT, CONCEPTS, COSINE, ITEMS, ORACLE_SQL, PAPERS, POSTINGS, STOP, TOP, VECTORS, YEARS, _knn, query
@@ -31,7 +31,7 @@ def _knn_of_all(where: str = "true") -> str:
 @query("knn_batch", _knn_of_all())
 def knn_batch(c: Catalog) -> DataFrame:
     """Exhaustive: the truth that the index's recall is measured against."""
-    return vector.nearest(c.vectors(), _seeds(c), TOP)
+    return vector_blocks.nearest(c.vectors(), _seeds(c), TOP)
 
 
 @query("ivf_knn")
