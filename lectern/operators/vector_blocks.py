@@ -8,7 +8,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.session import ship
@@ -199,11 +199,15 @@ def best(rows: DataFrame, queries: DataFrame, tiles: int, n: int, places: int |
     return work.mapInArrow(met, f"query {kinds['query']}, id {kinds['id']}, cell int, value double")
 
 
-def own_id(queries: DataFrame, rows: DataFrame, drop_self: bool) -> DataFrame:
-    """query, self, vector of queries (id, vector); where a query's own row is to be left out, those without an id go."""
+def own(query: Column, rows: DataFrame, drop_self: bool) -> Column:
+    """The id of a query's own row, or null if none is to be left out."""
     kind = rows.schema["id"].dataType
-    asked = queries.where("id IS NOT NULL") if drop_self else queries
-    return asked.select(F.col("id").alias("query"), (F.col("id").try_cast(kind) if drop_self else F.lit(None).cast(kind)).alias("self"), "vector")
+    return (query.try_cast(kind) if drop_self else F.lit(None).cast(kind)).alias("self")
+
+
+def with_id(rows: DataFrame, drop_self: bool, name: str = "id") -> DataFrame:
+    """rows; where own rows are left out, without those that have no id."""
+    return rows.where(F.col(name).isNotNull()) if drop_self else rows
 
 
 def first(found: DataFrame, n: int, by: str) -> DataFrame:
@@ -220,8 +224,8 @@ def nearest(rows: DataFrame, queries: DataFrame, n: int, drop_self: bool = True,
     blocks, parts = max(1, ceil(queries.count() / QUERIES)), max(1, ceil(rows.count() / ROWS))
     deal = lambda key, m: F.pmod(F.xxhash64(key, "vector"), F.lit(m))
     spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    asked = own_id(queries, rows, drop_self).select("*", deal("query", blocks).alias("block"), spread(parts).alias("part"))
-    known = (rows.where("id IS NOT NULL") if drop_self else rows).select("id", "vector", deal("id", parts).alias("part"), spread(blocks).alias("block"))
+    asked = with_id(queries, drop_self).select(F.col("id").alias("query"), own(F.col("id"), rows, drop_self), "vector", deal("id", blocks).alias("block"), spread(parts).alias("part"))
+    known = with_id(rows, drop_self).select("id", "vector", deal("id", parts).alias("part"), spread(blocks).alias("block"))
     tile = (F.col("block") * parts + F.col("part")).alias("tile")
     found = best(known.select(tile, F.lit(0).alias("cell"), "id", "vector"), asked.select(tile, "query", "self", "vector", F.array(F.lit(0)).alias("cells")), blocks * parts, n, places)
     return first(found.select("query", "id", F.col("value").alias("similarity")), n, "similarity")
