@@ -11,7 +11,7 @@ from lectern.plans.explore import explored
 from lectern.plans.search import Search
 from lectern.registry import CONCEPT, CONCEPTS, COSINE, ITEMS, ORACLE_SQL, PAPERS, POSTINGS, STOP, TOP, VECTORS, YEARS, _knn, query
 from lectern.sources.catalog import Catalog
-from lectern.storage import folder
+from lectern.storage import TEXTS, folder, remove, stored
 from lectern.streaming import ingest, update
 
 #: Searches take every row whose id is divisible by this as a request, against all rows.
@@ -179,12 +179,13 @@ ARRIVED = "a AS (SELECT doc_id AS k, text FROM documents), b AS (SELECT CASE WHE
 def _updated(c: Catalog) -> update.Updates:
     root, col = folder(c.spark), F.col
     docs = c.table("documents").select(col("doc_id").alias("item_key"), F.substring_index("text", "\n", 1).alias("title"), col("text").alias("body"), F.lit(1).cast("long").alias("stamp"))
-    docs.coalesce(1).write.parquet(f"{root}/arrived")
+    docs.coalesce(1).write.options(**TEXTS).parquet(f"{root}/arrived")
     body = F.when(col("item_key") % 10 == 0, " ").when(col("item_key") % 3 == 0, F.concat("body", F.lit(" more"))).otherwise(col("body"))
     key = F.when(col("item_key") % 8 == 0, col("item_key") + 1_000_000).otherwise(col("item_key"))
-    docs.where("item_key % 2 = 0").select(key.alias("item_key"), "title", body.alias("body"), F.lit(2).cast("long").alias("stamp")).coalesce(1).write.mode("append").parquet(f"{root}/arrived")
+    docs.where("item_key % 2 = 0").select(key.alias("item_key"), "title", body.alias("body"), F.lit(2).cast("long").alias("stamp")).coalesce(1).write.mode("append").options(**TEXTS).parquet(f"{root}/arrived")
     updates = update.Updates(c.spark, f"{root}/library", FEW_BUCKETS)
     updates.run(ingest.stream(c.spark, f"{root}/arrived", docs.schema), f"{root}/state")
+    remove(c.spark, f"{root}/arrived")
     return updates
 
 
@@ -201,7 +202,9 @@ def update_sinks(c: Catalog) -> DataFrame:
     count = lambda name: store.read(name).groupBy("item_key").agg(F.count(F.lit(1)).alias(name))
     papers = store.read("nodes").where("label = 'Paper'").select(F.col("key").cast("long").alias("item_key"), F.lit(True).alias("__there"))
     rows = store.read("items").select("item_key", "digest").join(count("chunks"), "item_key", "left").join(count("vectors"), "item_key", "left").join(papers, "item_key", "left")
-    return rows.select("item_key", "digest", "chunks", "vectors", F.coalesce("__there", F.lit(False)).alias("in_graph"))
+    out = stored(rows.select("item_key", "digest", "chunks", "vectors", F.coalesce("__there", F.lit(False)).alias("in_graph")))
+    remove(c.spark, store.root)
+    return out
 
 
 # Searches and explorations as a whole

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators.keyed_store import BUCKETS, Batch, KeyedStore
-from lectern.storage import stored
+from lectern.storage import passing
 
 PROPS = "props map<string, struct<stamp: bigint, value: string>>"
 TABLES = {
@@ -66,13 +66,14 @@ def merged(batch: Batch, nodes: DataFrame | None, edges: DataFrame | None) -> di
         if rows is None:
             continue
         key = list(TABLES[name][1])
-        new = stored(_stamped(rows, TABLES[name][1]))
-        old = batch.store.read(name, batch.touched(name, new), batch.before).withColumnRenamed("props", "__old")
-        both = new.join(old, key, "left").withColumn("__now", F.when(F.col("__old").isNull(), F.col("props")).otherwise(_merged(F.col("__old"), F.col("props"))))
-        told = F.when(F.col("__old").isNull(), "created").when(_sorted(F.col("__old")) == _sorted(F.col("__now")), "unchanged").otherwise("updated")
-        found = stored(both.select(*key, F.col("__now").alias("props"), told.alias("told")))
-        counts |= {f"{name}_{told}": 0 for told in ("created", "updated", "unchanged")} | {f"{name}_{r.told}": r["count"] for r in found.groupBy("told").count().collect()}
-        batch.put(name, found.where("told <> 'unchanged'").drop("told"))
+        with passing() as keep:
+            new = keep(_stamped(rows, TABLES[name][1]))
+            old = batch.store.read(name, batch.touched(name, new), batch.before).withColumnRenamed("props", "__old")
+            both = new.join(old, key, "left").withColumn("__now", F.when(F.col("__old").isNull(), F.col("props")).otherwise(_merged(F.col("__old"), F.col("props"))))
+            told = F.when(F.col("__old").isNull(), "created").when(_sorted(F.col("__old")) == _sorted(F.col("__now")), "unchanged").otherwise("updated")
+            found = keep(both.select(*key, F.col("__now").alias("props"), told.alias("told")))
+            counts |= {f"{name}_{told}": 0 for told in ("created", "updated", "unchanged")} | {f"{name}_{r.told}": r["count"] for r in found.groupBy("told").count().collect()}
+            batch.put(name, found.where("told <> 'unchanged'").drop("told"))
     return counts
 
 

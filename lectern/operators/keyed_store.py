@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.storage import files, remove
+from lectern.storage import TEXTS, files, remove
 
 #: Buckets that a table's keys are dealt to; a change rewrites those it touches.
 BUCKETS = 64
@@ -66,16 +66,21 @@ class Batch:
     def replace(self, name: str, keys: DataFrame, rows: DataFrame) -> None:
         """rows in place of those with one of keys; a key may have several rows.
 
-        keys and rows are read several times: stored tables or plain scans. Only their buckets are read and written.
+        keys and rows are read several times: stored tables or plain scans. Only their buckets are read and written, and
+        rows move once: what goes is told by marks of the keys beside the rows in their bucket. Null keys replace nothing.
         """
         schema, key = self.store.tables[name]
         columns = list(self.store.spark.createDataFrame([], schema).columns)
         touched = sorted({*self.touched(name, keys), *self.touched(name, rows)})
         if not touched:
             return
-        left = self.store.read(name, touched, self.before).join(keys.distinct(), list(key), "left_anti")
-        now = left.unionByName(rows.select(*columns)).withColumn("bucket", self.store.bucket(name))
-        now.repartition("bucket").sortWithinPartitions("bucket", *key).write.partitionBy("bucket").mode("overwrite").parquet(f"{self.store.root}/{name}/n={self.number}")
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.store.spark.createDataFrame([], schema).schema if f.name not in key]
+        old = self.store.read(name, touched, self.before).select(*columns, F.lit(0).alias("__kind"))
+        marks = keys.select(*key).dropna().distinct().select(*key, *none, F.lit(1).alias("__kind")).select(*columns, "__kind")
+        dealt = old.unionByName(marks).unionByName(rows.select(*columns, F.lit(2).alias("__kind"))).withColumn("bucket", self.store.bucket(name)).repartition("bucket")
+        gone = F.max(F.col("__kind") == 1).over(Window.partitionBy("bucket", *key).orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        now = dealt.withColumn("__gone", gone).where("__kind = 2 OR (__kind = 0 AND NOT __gone)").drop("__kind", "__gone")
+        now.sortWithinPartitions("bucket", *key).write.partitionBy("bucket").mode("overwrite").options(**TEXTS).parquet(f"{self.store.root}/{name}/n={self.number}")
         written = {int(f.rpartition("/bucket=")[2].partition("/")[0]) for f, _, _ in files(self.store.spark, f"{self.store.root}/{name}/n={self.number}")}
         for b in touched:
             self.tables[name].pop(str(b), None)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,11 +27,15 @@ def folder(spark: SparkSession) -> str:
     return f"{(root or _own_folder()).rstrip('/')}/lectern-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+#: How tables of texts are written: small, and in row groups that several tasks can share where one task wrote them.
+TEXTS = {"compression": "zstd", "parquet.block.size": 8 << 20}
+
+
+def stored(df: DataFrame, **options: object) -> DataFrame:
     """df, written to shared storage and read back: a lost executor costs no recomputation of what led here."""
     spark = df.sparkSession
     path = folder(spark)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -97,3 +102,24 @@ def discard(df: DataFrame) -> None:
     """Delete the files of a stored() table that nothing reads any more."""
     for file in df.inputFiles()[:1]:
         remove(df.sparkSession, file.rpartition("/")[0])
+
+
+@contextmanager
+def passing() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A stored() whose tables are deleted at the end."""
+    made: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        made.append(stored(df, **TEXTS))
+        return made[-1]
+
+    try:
+        yield keep
+    finally:
+        for df in made:
+            discard(df)
+
+
+def released(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, upon which Spark deletes the shuffle files of plans that are gone; by itself it does so every half hour, or when its heap is full."""
+    spark._jvm.System.gc()
