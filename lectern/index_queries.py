@@ -191,7 +191,9 @@ def _updated(c: Catalog) -> update.Updates:
 
 @query("update_counters", f"WITH {ARRIVED} SELECT 0 AS batch, sum((trim(text) <> '')::INT)::BIGINT AS added, 0::BIGINT AS updated, 0::BIGINT AS skipped, sum((trim(text) = '')::INT)::BIGINT AS failed FROM a UNION ALL SELECT 1, sum((trim(b.text) <> '' AND a.k IS NULL)::INT)::BIGINT, sum((trim(b.text) <> '' AND a.text <> b.text)::INT)::BIGINT, sum((trim(b.text) <> '' AND a.text = b.text)::INT)::BIGINT, sum((trim(b.text) = '')::INT)::BIGINT FROM b LEFT JOIN (SELECT * FROM a WHERE trim(text) <> '') a USING (k)")
 def update_counters(c: Catalog) -> DataFrame:
-    told = _updated(c).counters()
+    updates = _updated(c)
+    told = updates.counters()
+    remove(c.spark, updates.store.root)
     return c.spark.createDataFrame([(n, x["added"], x["updated"], x["skipped"], x["failed"]) for n, x in told.items()], "batch int, added long, updated long, skipped long, failed long")
 
 
